@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A second handle on what ``written`` wrote, with columns of its own for joins with the first."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._written_at)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``written`` wrote; df must not be used afterwards."""
     spark, path = df.sparkSession, getattr(df, "_written_at", None)

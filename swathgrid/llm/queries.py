@@ -22,6 +22,39 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "keep_doc_id", F.col("keep_line_no").cast("long").alias("keep_line_no"), "kept")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the value's digest instead of the value."""
+    from .secrets import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "kind", F.sha2("value", 256).alias("value_sha256"), "n", "score", "kept")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chain, format_paths, parse, reply_paths
+
+    ok = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select * from values (-7L, 0L, 'user', '{ok}'), (-7L, 1L, 'assistant', '{ok}') as t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").union(more)
+    back = parse(format_paths(reply_paths(chain(turns))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
@@ -66,5 +99,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_token_files, op7_simhash, op8_decontaminate, op9_toxicity, op10_pack, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_near_dedup, op3_license_scan, op4_secret_scan, op5_chat_format, op6_token_files, op7_simhash, op8_decontaminate, op9_toxicity, op10_pack, pipeline)}
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,179 @@
+"""Secret scans with a random forest that removes false positives.
+
+DataFrame and SQL functions only where documents are read: candidates come from one pattern per line, features are column
+expressions, and the forest, trained in numpy on labelled findings, is applied as nested CASE expressions. No shuffle.
+"""
+
+from __future__ import annotations
+
+import random
+import string
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Kinds of candidates; group 1 is the value.
+PATTERNS: dict[str, str] = {
+    "aws_key": r"(?<![A-Za-z0-9])(A[KS]IA[0-9A-Z]{16})(?![A-Za-z0-9])",
+    "github_token": r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,})",
+    "jwt": r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
+    "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
+    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})",
+}
+ANY = "|".join(PATTERNS.values())
+#: Common words, the dictionary of the coverage feature and of the words that tell placeholders (fixed values).
+DICTIONARY = ("password", "passwd", "secret", "token", "example", "sample", "dummy", "test", "fake", "change", "your", "here", "insert", "value", "placeholder", "default", "admin", "user", "root", "login", "key", "none", "null", "true", "false", "foo", "bar", "xxx", "abc", "the", "and", "for", "with", "this", "that", "required", "string", "config", "env", "get", "hello", "world", "welcome", "letmein", "master", "demo", "public", "private", "access")
+SAFE_NEAR = "example|sample|dummy|placeholder|fake|test|docs?|tutorial|e\\.g\\.|replace|your"
+HOT_NEAR = "secret|token|passw|pwd|api|key|auth|credential|login"
+
+FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "hex", "dictionary", "longest_run", "safe_path", "safe_near", "hot_near", "prefix")
+TREES, DEPTH, SEED = 15, 6, 11
+
+
+def features(value: Column, path: Column, before: Column, after: Column) -> list[Column]:
+    """The forest's inputs, all double."""
+    n = F.greatest(F.length(value), F.lit(1)).cast("double")
+    kept = lambda pattern: F.length(F.regexp_replace(value, pattern, "")).cast("double")
+    kind = F.translate(value, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
+    words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
+    near = F.lower(F.concat(before, F.lit(" "), after))
+    return [
+        n,
+        F.length(F.regexp_replace(kind, r"(.)\1+", "$1")) / n,
+        F.size(F.array_distinct(F.split(value, ""))) / n,
+        1 - kept("[0-9]") / n,
+        1 - kept("[A-Z]") / n,
+        1 - kept("[0-9a-fA-F]") / n,
+        1 - F.length(F.regexp_replace(F.lower(value), words, "")) / n,
+        F.greatest(F.lit(0), F.length(value) - F.length(F.regexp_replace(value, r"(.)\1{2,}", ""))) / n,
+        F.coalesce(F.lower(path), F.lit("")).rlike("test|example|sample|doc|fixture|mock").cast("double"),
+        near.rlike(SAFE_NEAR).cast("double"),
+        near.rlike(HOT_NEAR).cast("double"),
+        value.rlike("^(A[KS]IA|gh[pousr]_|eyJ|-----BEGIN)").cast("double"),
+    ]
+
+
+def labelled_findings(n: int = 900, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """(value, path, before, after, label): generated findings, labelled by how they were made; n bounds their number."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    hexes, b32, b64 = "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/"
+    real = (
+        lambda: ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), ""),
+        lambda: (pick(hexes, r.choice([18, 20, 24, 32, 40, 64])), r.choice(['token = "', "password=", "secret: ", "api_key="])),
+        lambda: (pick(b64, r.randint(20, 60)), r.choice(["secret=", "access_key = ", "token: "])),
+        lambda: ("ghp_" + pick(string.ascii_letters + string.digits, 36), ""),
+        lambda: (pick(string.ascii_letters + string.digits + "!#$%&*@^", r.randint(9, 24)), r.choice(["password=", 'passwd: "', "pwd="])),
+        lambda: ("eyJ" + pick(b64[:62], 20) + "." + pick(b64[:62], 40) + "." + pick(b64[:62], 43), "token="),
+        lambda: ("-----BEGIN " + r.choice(["RSA ", "EC ", ""]) + "PRIVATE KEY-----", ""),
+        lambda: (pick(b32, r.choice([16, 20, 32])), "secret="),
+    )
+    word = lambda: r.choice(DICTIONARY)
+    syllables = lambda: "".join(r.choice(["an", "the", "re", "on", "er", "in", "tion", "ed", "es", "ou"]) for _ in range(r.randint(2, 6)))
+    wrong = (
+        lambda: (word() + r.choice(["", "_", "-"]) + word() + r.choice(["", "123", "1"]), r.choice(["password=", "token = ", "secret: "])),
+        lambda: (r.choice("xX*0.") * r.randint(6, 40), r.choice(["password=", "token=", "api_key="])),
+        lambda: ("AKIAIOSFODNN7" + "EXAMPLE", "example "),
+        lambda: ("AKIA" + r.choice("XA0") * 16, "key "),
+        lambda: (syllables(), r.choice(["the token: ", "password: ", "secret: "])),
+        lambda: ("${" + word().upper() + "_" + word().upper() + "}", "password="),
+        lambda: ("<" + word() + "-" + word() + ">", "token="),
+        lambda: ("1234567890abcdef"[: r.randint(6, 16)] * r.randint(1, 2), "password="),
+        lambda: ("os.environ[" + word() + "]", "api_key = "),
+        lambda: (word() + "." + word() + "(" + word() + ")", "token = "),
+        lambda: ("ghp_" + r.choice("xX0") * 36, "example "),
+    )
+    filler = lambda: " ".join(syllables() for _ in range(r.randint(0, 4)))
+    out = []
+    for k in range(n):
+        label = k % 2
+        value, lead = r.choice(real if label else wrong)()
+        path = r.choice(["src/app.py", "config/prod.yml", "deploy.sh", "src3", ""] if label or r.random() < 0.6 else ["tests/test_auth.py", "docs/guide.md", "examples/demo.py"])
+        before = f"{filler()} {r.choice(['', '', 'for example ', 'replace with your ']) if not label else ''}{lead}"
+        out.append((value, path, before, filler(), label))
+    return out
+
+
+class Tree:
+    """A binary tree: ``(feature, threshold, left, right)`` or a leaf's share of secrets."""
+
+    @staticmethod
+    def grow(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator):
+        if depth == 0 or len(y) < 6 or y.min() == y.max():
+            return float(y.mean())
+        best = (1e9, None, None)
+        for f in rng.permutation(x.shape[1])[: max(1, int(np.ceil(np.sqrt(x.shape[1])))) + 1]:
+            order = np.argsort(x[:, f], kind="stable")
+            v, ones = x[order, f], np.cumsum(y[order])
+            cut = np.flatnonzero(v[1:] > v[:-1])
+            if not len(cut):
+                continue
+            n1 = cut + 1.0
+            n2, k1 = len(y) - n1, ones[cut]
+            k2 = ones[-1] - k1
+            gini = k1 * (1 - k1 / n1) + k2 * (1 - k2 / n2)
+            k = int(np.argmin(gini))
+            if gini[k] < best[0]:
+                best = (gini[k], int(f), float((v[cut[k]] + v[cut[k] + 1]) / 2))
+        if best[1] is None:
+            return float(y.mean())
+        side = x[:, best[1]] <= best[2]
+        return best[1], best[2], Tree.grow(x[side], y[side], depth - 1, rng), Tree.grow(x[~side], y[~side], depth - 1, rng)
+
+    @staticmethod
+    def column(node, inputs: list[Column]) -> Column:
+        if isinstance(node, float):
+            return F.lit(round(node, 6))
+        f, t, low, high = node
+        return F.when(inputs[f] <= F.lit(t), Tree.column(low, inputs)).otherwise(Tree.column(high, inputs))
+
+    @staticmethod
+    def value(node, row) -> float:
+        while not isinstance(node, float):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return round(node, 6)
+
+
+def train_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(trees):
+        own = rng.integers(0, len(y), len(y))
+        out.append(Tree.grow(x[own], y[own].astype(float), depth, rng))
+    return out
+
+
+def forest_of(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> list:
+    """The forest trained on labelled findings, whose features the same column expressions give."""
+    findings = labelled_findings() if findings is None else findings
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({k}, {quote(v)}, {quote(p)}, {quote(b)}, {quote(a)})" for k, (v, p, b, a, _) in enumerate(findings))
+    rows = spark.sql(f"select * from values {values} as t(k, value, path, before, after)")
+    got = rows.select("k", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("path"), F.col("before"), F.col("after")))]).orderBy("k").collect()
+    return train_forest(np.array([r[1:] for r in got], float), np.array([f[4] for f in findings]))
+
+
+def scan_secrets(docs: DataFrame, forest: list | None = None, path: str | None = "source", context: int = 40, threshold: float = 0.5) -> DataFrame:
+    """``doc_id, line_no, kind, value, n, score, kept``: the distinct candidates of each line.
+
+    ``n`` counts a value's occurrences in its line, ``score`` is the forest's mean share of secrets, ``kept`` says whether
+    it reaches the threshold. ``path`` names the column that stands for the document's path (None or missing: empty). Null
+    and empty texts give nothing, repeated rows repeated findings.
+    """
+    forest = forest_of(docs.sparkSession) if forest is None else forest
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.where(F.col("line").rlike(ANY))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all("line", F.lit(p), F.lit(1)).alias("values")) for kind, p in PATTERNS.items()])
+    kinds = lines.select("doc_id", "path", "line_no", "line", F.explode(each).alias("k"))
+    found = kinds.select("doc_id", "path", "line_no", "line", F.col("k.kind").alias("kind"), F.explode(F.array_distinct("k.values")).alias("value"), F.col("k.values").alias("all"))
+    at = F.expr("locate(value, line)")
+    placed = found.withColumn("n", F.size(F.filter("all", lambda v: v == F.col("value")))).withColumn("at", at)
+    before = F.expr(f"substring(line, greatest(at - {context}, 1), least({context}, at - 1))")
+    after = F.expr(f"substring(line, at + length(value), {context})")
+    inputs = placed.select("doc_id", "line_no", "kind", "value", "n", *[c.alias(f"__{n}") for n, c in zip(FEATURES, features(F.col("value"), F.col("path"), before, after))])
+    columns = [F.col(f"__{n}") for n in FEATURES]
+    total = sum((Tree.column(t, columns) for t in forest[1:]), Tree.column(forest[0], columns))
+    scored = inputs.withColumn("score", F.round(total / len(forest), 6))
+    return scored.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind", "value", F.col("n").cast("long").alias("n"), "score", (F.col("score") >= threshold).alias("kept"))
