@@ -1,22 +1,22 @@
 """Whole-text encoding with the tokenizers library, memoised by white-space separated chunk.
 
-Both pre-tokenizers in use never match across a single space between two printable characters, so a text may be cut
-there and the cuts' ids joined; distinct chunks are encoded once per worker. Everywhere else the text stays in one chunk.
+Both pre-tokenizers in use never match across a single space or line end between two other characters, so a text may be
+cut there and the cuts' ids joined; distinct chunks are encoded once per worker. Texts with other white space, runs of it
+or control characters are cut only between printable Latin characters.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: A space or line end that may not be a cut: one of its neighbours is no printable ASCII or Latin character.
 _SAFE = "[!-~¡-˿]"
-_UNSAFE = re.compile(f"[ \n](?!{_SAFE})|(?<!{_SAFE})[ \n]")
 _CUT = re.compile(f"(?<={_SAFE}) (?={_SAFE})")
 #: Chunks that a worker remembers (the first ones it meets), a bound on its memory only.
-MEMO = 600_000
+MEMO = 1_200_000
 
 
 class Encoder:
@@ -28,34 +28,63 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._kind = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self._code = "H" if self._tokenizer.get_vocab_size() <= 65536 else "I"
         encode = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
         # byte-level vocabularies join a space to the word behind it, the others drop white space
         self._keeps = encode(" a") != encode("a")
         self._memo: dict[str, bytes] = {}
 
+    @property
+    def kind(self):
+        """The least Arrow type that holds an id."""
+        import pyarrow as pa
+
+        return pa.uint16() if self._code == "H" else pa.uint32()
+
     def _chunks(self, text: str) -> list[str]:
-        """Chunks as they are remembered: with their leading space or line end if the vocabulary keeps it."""
-        if _UNSAFE.search(text):
+        """Keys of the text's chunks: the first is marked by a null character, a line's first by its line end."""
+        flat = text.replace("\n", " ")
+        if "  " in flat or not flat.isprintable():
             cut = _CUT.split(text)
-            return [cut[0], *(" " + x for x in cut[1:])] if self._keeps else cut
-        if not self._keeps:
-            return text.replace("\n", " ").split(" ")
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        elif self._keeps:
+            cut = text.replace("\n", " \n").split(" ")
+        else:
+            return flat.split(" ")
+        cut[0] = "\0" + cut[0]
+        return cut
+
+    def _text(self, key: str) -> str:
+        """What a key stands for in the text."""
+        if key[:1] == "\0":
+            return key[1:]
+        return " " + key if self._keeps and key[:1] != "\n" else key
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self._chunks(x) if x else [] for x in texts]
-        known = [list(map(self._memo.get, x)) for x in cut]
-        missing = list({c for x, y in zip(cut, known) if None in y for c, v in zip(x, y) if v is None})
-        new = {}
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for c, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                new[c] = np.array(e.ids, self._kind).tobytes()
-        known = [[new[c] if v is None else v for c, v in zip(x, y)] if None in y else y for x, y in zip(cut, known)]
+        get = self._memo.get
+        known, holes = [], []
+        new: dict[str, bytes] = {}
+        for t, chunks in enumerate(cut):
+            row = list(map(get, chunks))
+            k = -1
+            try:
+                while True:
+                    k = row.index(None, k + 1)
+                    holes.append((t, k))
+                    new[chunks[k]] = b""
+            except ValueError:
+                known.append(row)
+        keys = list(new)
+        for k in range(0, len(keys), 4096):
+            part = keys[k : k + 4096]
+            for c, e in zip(part, self._tokenizer.encode_batch_fast([self._text(c) for c in part], add_special_tokens=False)):
+                new[c] = array(self._code, e.ids).tobytes()
+        for t, k in holes:
+            known[t][k] = new[cut[t][k]]
         if len(self._memo) + len(new) <= MEMO:
             self._memo.update(new)
-        return [np.frombuffer(b"".join(y), self._kind).astype("<u4") for y in known]
+        kind = np.dtype("<u2" if self._code == "H" else "<u4")
+        return [np.frombuffer(b"".join(row), kind).astype("<u4") for row in known]
 
 
 _encoders: dict[str, Encoder] = {}

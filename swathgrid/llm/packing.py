@@ -27,7 +27,7 @@ class Limits:
     #: Pieces may be cut to fill a sequence, and a last sequence falls apart into lengths that are powers of two.
     cut: bool = True
     #: Pieces that wait at once in a task.
-    pool: int = 2048
+    pool: int = 1024
 
 
 @dataclass
@@ -52,6 +52,7 @@ class Packer:
         self._need = np.zeros((n, 3))
         self._free = list(range(n))[::-1]
         self._scale = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
+        self._bound = limits.loss_tokens < limits.tokens
 
     def _loss(self, doc: int, start: int, length: int) -> int:
         return max(0, start + length - max(start, self.docs[doc][2]))
@@ -108,12 +109,12 @@ class Packer:
         self.sequences += 1
 
     def _best(self, left: np.ndarray) -> int:
-        n = self._need
-        fits = (n[:, 1] > 0) & (n <= left).all(1)
-        if not fits.any():
-            return -1
-        score = (n / self._scale) @ (left / self._scale)
-        return int(np.argmax(np.where(fits, score, -1)))
+        score = self._need @ (left / self._scale**2)
+        score[self._need[:, 0] > left[0]] = 0
+        if self._bound:  # else no piece can break the loss limit alone: it has no more loss than tokens
+            score[self._need[:, 2] > left[2]] = 0
+        k = int(score.argmax())
+        return k if score[k] > 0 else -1
 
     def _fill(self) -> None:
         """Fill and close one sequence."""
