@@ -2,8 +2,9 @@
 
 Documents are range-partitioned by doc_id; each partition writes one file of sequences and one index of its documents to a
 folder that all executors share, so the files in order hold the documents in ascending doc_id order. A file's rows are
-``input_ids: fixed_size_list<uint32>`` and ``mask: fixed_size_list<uint8>`` (1 on real ids, 0 on the padding that ends a
-file), whose buffers a memory map exposes without a copy: row k of a batch is the slice [k*L, (k+1)*L).
+``input_ids: fixed_size_list<uint16>`` (uint32 for vocabularies over 65,536 ids) and ``mask: fixed_size_list<bool>`` (false
+on the padding that ends a file), whose buffers a memory map exposes without a copy: row k of a batch is the slice
+[k*L, (k+1)*L) of its ids and of its mask bits.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ SEQUENCE = 1024
 BATCH = 256
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+_INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def _schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def filesystem(uri: str):
@@ -44,8 +48,9 @@ def filesystem(uri: str):
 class SequenceWriter:
     """Appends id arrays to one sequence file; ``close`` pads the last sequence and writes the footer."""
 
-    def __init__(self, sink, length: int = SEQUENCE):
-        self._out = pa.ipc.new_file(sink, _schema(length))
+    def __init__(self, sink, length: int = SEQUENCE, kind: pa.DataType = pa.uint32()):
+        self._schema = _schema(length, kind)
+        self._out = pa.ipc.new_file(sink, self._schema)
         self._length, self._held, self._n = length, [], 0
         self.written = 0
 
@@ -63,15 +68,16 @@ class SequenceWriter:
         for at in range(0, whole, self._length * BATCH):
             self._batch(ids[at : min(whole, at + self._length * BATCH)], None)
         if last and len(tail):
-            mask = np.zeros(self._length, np.uint8)
-            mask[: len(tail)] = 1
+            mask = np.arange(self._length) < len(tail)
             self._batch(np.concatenate([tail, np.zeros(self._length - len(tail), "<u4")]), mask)
         self._held, self._n = [tail], len(tail)
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray | None) -> None:
-        mask = np.ones(len(ids), np.uint8) if mask is None else mask
-        as_list = lambda a, t: pa.FixedSizeListArray.from_arrays(pa.array(a, t), self._length)
-        self._out.write_batch(pa.RecordBatch.from_arrays([as_list(ids.astype(np.uint32), pa.uint32()), as_list(mask, pa.uint8())], schema=_schema(self._length)))
+        mask = np.ones(len(ids), bool) if mask is None else mask
+        kind = self._schema.field(0).type.value_type
+        as_list = lambda a: pa.FixedSizeListArray.from_arrays(a, self._length)
+        columns = [as_list(pa.array(ids.astype(kind.to_pandas_dtype()), kind)), as_list(pa.array(mask, pa.bool_()))]
+        self._out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self._schema))
 
     def close(self) -> None:
         self._flush(True)
@@ -84,15 +90,16 @@ class SequenceReader:
     def __init__(self, source):
         self._file = pa.ipc.open_file(source)
         self.length = self._file.schema.field("input_ids").type.list_size
-        self._batches, self._at = {}, [0]
-        for k in range(self._file.num_record_batches):
-            self._at.append(self._at[-1] + self._batch(k)[0].size // self.length)
-            self._batches.clear()
+        sizes = [self._file.get_batch(k).num_rows for k in range(self._file.num_record_batches)]
+        self._at = [0, *np.cumsum(sizes).tolist()]
+        self._held: tuple = (-1, None, None)
 
-    def _batch(self, k: int):
-        if k not in self._batches:
-            self._batches = {k: tuple(self._file.get_batch(k).column(c).flatten().to_numpy() for c in (0, 1))}
-        return self._batches[k]
+    def _batch(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids of batch k as a view of the file's buffer, and its mask."""
+        if self._held[0] != k:
+            batch = self._file.get_batch(k)
+            self._held = (k, batch.column(0).flatten().to_numpy(), batch.column(1).flatten())
+        return self._held[1:]
 
     def __len__(self) -> int:
         return self._at[-1]
@@ -101,17 +108,19 @@ class SequenceReader:
         b = int(np.searchsorted(self._at, k, "right")) - 1
         ids, mask = self._batch(b)
         at = (k - self._at[b]) * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return ids[at : at + self.length], mask.slice(at, self.length).to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Real ids [start, start + n) of the file."""
         out = []
         while n > 0:
+            if start // self.length >= len(self):
+                raise ValueError("reading beyond a file's ids")
             b = int(np.searchsorted(self._at, start // self.length, "right")) - 1
             ids, mask = self._batch(b)
             at = start - self._at[b] * self.length
             take = min(n, len(ids) - at)
-            if not mask[at : at + take].all():
+            if not mask[at + take - 1].as_py():
                 raise ValueError("reading beyond a file's ids")
             out.append(ids[at : at + take])
             start, n = start + take, n - take
@@ -141,8 +150,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
             if writer is None:
                 fs.create_dir(path, recursive=True)
                 sink, index_sink = fs.open_output_stream(f"{path}/{name}.arrow"), fs.open_output_stream(f"{path}/{name}.index.arrow")
-                writer = SequenceWriter(sink, length)
-                index = pa.ipc.new_file(index_sink, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
+                writer = SequenceWriter(sink, length, encode.kind)
+                index = pa.ipc.new_file(index_sink, _INDEX)
                 low = b.column(0)[0].as_py()
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -151,7 +160,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
                     starts.append(writer.written)
                     writer.add(np.concatenate([ids, end]))
                     sizes.append(len(ids) + 1)
-                index.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=index.schema if hasattr(index, "schema") else pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])))
+                index.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_INDEX))
                 n_docs += part.num_rows
         if writer is not None:
             n = writer.written
@@ -183,7 +192,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 index = pa.ipc.open_file(fs.open_input_file(filesystem(r["index"])[1]))
                 for k in range(index.num_record_batches):
                     part = index.get_batch(k)
-                    crc = [zlib.crc32(np.ascontiguousarray(reader.ids(s, n), "<u4")) for s, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                    crc = [zlib.crc32(reader.ids(s, n).astype("<u4")) for s, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1).to_numpy() + r["base"], pa.int64()), part.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
