@@ -132,7 +132,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return grouped.select("key", "n_words", merged.alias("spans"), "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS_IN_WINDOW, min_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS_IN_WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without documents that hold windows of ``min_items`` items or more; hit spans are cut from the others.
 
     The columns of docs are kept as they are. Documents without a hit come back unchanged, nulls and empty texts too; one
@@ -141,13 +141,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS_IN_WINDO
     schema = docs.schema
     spark = docs.sparkSession
     sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    if sizes.b > BLOCK_BYTES:
-        keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-        found = find_contamination(keyed, benchmark, key="__key", n=n).where(F.size("items") > 0).dropDuplicates(["key"])
-        joined = keyed.join(found, keyed["__key"] == found["key"], "left").where(F.coalesce(F.size("items"), F.lit(0)) < min_items)
+    if sizes.b > block_bytes:
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
+        found = find_contamination(packed, benchmark, n=n, block_bytes=block_bytes).where(F.size("items") > 0).dropDuplicates(["key"])
+        joined = packed.join(found, "key", "left").where(F.coalesce(F.size("items"), F.lit(0)) < min_items)
         cut = F.expr("aggregate(spans, named_struct('at', 0L, 'out', ''), (a, x) -> named_struct('at', x.char_end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.char_first - a.at as int)))), a -> concat(a.out, substring(text, cast(a.at + 1 as int))))")
-        out = joined.withColumn("text", F.when(F.coalesce(F.size("spans"), F.lit(0)) > 0, cut).otherwise(F.col("text")))
-        return out.where(F.coalesce(F.size("spans"), F.lit(0)).isin(0, -1) | (F.trim("text") != "")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        left = joined.withColumn("left", F.when(F.col("items").isNotNull(), cut).otherwise(F.col("text"))).where(F.col("items").isNull() | (F.trim("left") != ""))
+        return left.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
     held = spark.sparkContext.broadcast(window_index(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n))
     at = docs.columns.index("text")
 

@@ -74,7 +74,7 @@ def labelled_findings(n: int = 900, seed: int = SEED) -> list[tuple[str, str, st
     wrong = (
         lambda: (word() + r.choice(["", "_", "-"]) + word() + r.choice(["", "123", "1"]), r.choice(["password=", "token = ", "secret: "])),
         lambda: (r.choice("xX*0.") * r.randint(6, 40), r.choice(["password=", "token=", "api_key="])),
-        lambda: ("AKIAIOSFODNN7" + "EXAMPLE", "example "),
+        lambda: ("AKIAIOSFODNN7" + "EXAMPLE", r.choice(["example ", "key ", ""])),
         lambda: ("AKIA" + r.choice("XA0") * 16, "key "),
         lambda: (syllables(), r.choice(["the token: ", "password: ", "secret: "])),
         lambda: ("${" + word().upper() + "_" + word().upper() + "}", "password="),

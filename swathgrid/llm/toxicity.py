@@ -184,16 +184,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable=None, bound:
     return [(r.text or "").encode() for r in rows], [r["__label"] for r in rows]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``score`` (0 to 1) behind its columns; null and empty texts get the prior. One pass, no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 numbers
-    at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+def score(docs: DataFrame, model: Model, below: float | None = None) -> DataFrame:
+    """docs with ``score`` (0 to 1) behind its other columns (one so named is replaced); one pass, no shuffle.
+
+    With ``below``, docs instead: only the rows that score less, their columns unchanged. Null and empty texts get the
+    model's prior, repeated rows equal scores, an empty table no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**17 numbers
+    names = [c for c in docs.columns if below is not None or c != "score"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    at = names.index("text")
+    schema = rows.schema if below is not None else StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in batches:
             scores = [own.score(x) for x in b.column(at).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
+            if below is None:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
+            else:
+                yield b.filter(pa.array([x < below for x in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -91,12 +91,13 @@ def _usable(v: str) -> str:
     return f"{v} is not null and size({v}) > 0 and forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({v}, x -> x <> 0)"
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, per_cell: int = PER_CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, per_cell: int = PER_CELL, reach: float = 1.0) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector of ``vec_id, embedding, label``.
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least the threshold.
     Null or zero vectors, those with null or non-finite components, and rows with a null label link with nothing; vectors
     of different length do not link. Equal vectors are indexed once, with their number. An empty table gives no rows.
+    ``reach`` below 1 ends a query's traversal at that share of the exact radius: fewer visits, a recall below 1.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
@@ -105,7 +106,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     n = distinct.count()
     taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded by the limit
     books = spark.sparkContext.broadcast(fit([r.embedding for r in taken], n, per_cell))  # at most 2 x 256 centroids by dimension
-    radius2 = 2 - 2 * threshold + 1e-9
+    radius2 = (2 - 2 * threshold) * reach**2 + 1e-9
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,0 +1,218 @@
+"""Contract queries over whole small tables against brute force."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+
+from swathgrid.llm.queries import QUERIES, vocabulary
+
+
+def load(sf, name):
+    return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
+def run(spark, sf, name):
+    return [r.asDict() for r in QUERIES[name](spark, sf).collect()]
+
+
+def classes(nodes, links):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def links_of(rows, threshold=0.98):
+    """Expected (n_links, component, kept) of rows of (vec_id, vector, label)."""
+    good = [r for r in rows if r[1] is not None and r[2] is not None and len(r[1]) and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]
+    links = defaultdict(set)
+    for (a, x, k), (b, y, m) in itertools.combinations(good, 2):
+        x, y = np.array(x, float), np.array(y, float)
+        if k == m and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
+            links[a].add(b)
+            links[b].add(a)
+    comp = classes([r[0] for r in rows], [(a, b) for a in links for b in links[a]])
+    return {r[0]: (len(links[r[0]]), comp[r[0]], comp[r[0]] == r[0]) for r in rows}
+
+
+def test_op2(spark, small, tmp_path):
+    rows = [(r["vec_id"], [float(v) for v in r["embedding"]], r["label"]) for r in load(small, "embeddings")][:150]
+    rng = np.random.default_rng(1)
+    for k in range(120):  # near copies, some just below the threshold, in one dense group and in chains
+        base = np.array(rows[k % 7][1]) if k < 80 else np.array(rows[-1][1])
+        rows.append((10_000 + k, (base + rng.normal(0, 0.012 if k % 2 else 0.03, 64) * np.linalg.norm(base)).tolist(), rows[k % 7][2]))
+    rows += [(20_000, rows[0][1], rows[0][2]), (20_001, rows[0][1], rows[0][2]), (20_002, [v * 2 for v in rows[0][1]], rows[0][2]), (20_003, rows[0][1], None), (20_004, None, 1), (20_005, [0.0] * 64, 1), (20_006, [None] + [1.0] * 63, 1), (20_007, [float("nan")] + [1.0] * 63, 1), (20_008, [], 1), (20_009, [1.0], 1), (20_010, [2.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [(a, None if x is None else [None if v is None else float(np.float32(v)) for v in x], k) for a, x, k in rows]
+    want = links_of(rows)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in run(spark, str(tmp_path), "op2_embedding_near_dedup")} == want
+    assert len({c for _, c, _ in want.values()}) < len(rows) - 40
+
+
+def test_op5(spark, medium):
+    by = defaultdict(list)
+    for r in load(medium, "conversations"):
+        by[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    ok = "</s>[INST] ok [/INST]"
+    by[-7] = [(0, "user", ok), (1, "assistant", ok)]
+    want = {}
+    for c, turns in by.items():
+        turns.sort()
+        said, loss = "".join(f"{r}\n{t}\n" for _, r, t in turns), "".join(t for _, r, t in turns if r == "assistant")
+        want[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    got = run(spark, medium, "op5_chat_format")
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == want
+    assert all(r["formatted_chars"] > sum(len(t) for _, _, t in by[r["conv_id"]]) for r in got)
+
+
+def test_op6(spark, medium):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    start, want = 0, {}
+    for r in sorted(load(medium, "documents"), key=lambda r: r["doc_id"]):
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        want[r["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in run(spark, medium, "op6_token_files")} == want
+
+
+def test_op7(spark, medium):
+    docs = load(medium, "documents")
+    fps = {}
+    for r in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        fps[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    ids = sorted(fps)
+    f = np.array([fps[i] for i in ids], np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+    comp = classes(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a < b])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run(spark, medium, "op7_simhash")}
+    assert got == {i: (f"{fps[i]:016x}", comp[i]) for i in ids}
+    assert len({c for c in comp.values()}) < len(set(fps.values()))  # some link is no copy
+
+
+def test_op8(spark, medium):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    where = defaultdict(set)
+    for r in load(medium, "benchmark"):
+        w = words(r["text"])
+        for k in range(max(1, len(w) - 7) if w else 0):
+            where[tuple(w[k : k + 8])].add(r["item_id"])
+    want = {}
+    for r in load(medium, "documents"):
+        w, hit, items = words(r["text"]), set(), set()
+        for size in {len(x) for x in where}:
+            for k in range(len(w) - size + 1):
+                if (found := where.get(tuple(w[k : k + size]))) is not None:
+                    items |= found
+                    hit |= set(range(k, k + size))
+        want[r["doc_id"]] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), len(items) >= 2)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in run(spark, medium, "op8_decontaminate")} == want
+    assert any(x[2] for x in want.values())
+
+
+def test_op9(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in load(sf, "labels")}
+    got = run(spark, sf, "op9_toxicity")
+    assert len(got) == pq.read_metadata(f"{sf}/documents.parquet").num_rows
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    held = [(r["score"], toxic[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in toxic]
+    pairs = [(a > b) + 0.5 * (a == b) for (a, x), (b, y) in itertools.product(held, held) if x == 1 and y == 0]
+    assert np.mean(pairs) > 0.9
+
+
+def test_op10(spark, medium):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    ids = {r["doc_id"]: np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4") for r in load(medium, "documents")}
+    got = run(spark, medium, "op10_pack")
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    gapless = lambda parts: all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and min(parts)[0] == 0
+    assert set(by_doc) == set(ids) and all(gapless(p) and sum(n for _, n in p) == len(ids[d]) for d, p in by_doc.items())
+    sizes = [sum(n for _, n in p) for p in by_seq.values()]
+    assert all(gapless(p) for p in by_seq.values()) and max(sizes) <= 1024
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in sizes)
+    assert padding <= 0.002 * sum(sizes)
+
+
+def test_op1(spark, medium):
+    def shingles(x):
+        return frozenset(re.findall(r"(?<!\S)(?=(\S.{0,7}))", x))
+
+    lines = []
+    for r in load(medium, "documents"):
+        for k, x in enumerate((r["text"] or "").split("\n")):
+            if x.strip():
+                lines.append((r["doc_id"], k, x.strip(" \t\r").lower()))
+    texts = sorted({x for *_, x in lines})
+    own = [shingles(x) for x in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(own):
+        for g in s:
+            holders[g].append(i)
+    shared = defaultdict(int)
+    for who in holders.values():
+        if len(who) < 400:
+            for a, b in itertools.combinations(who, 2):
+                shared[a, b] += 1
+    links = [(a, b) for (a, b), n in shared.items() if n * 2 > 0.5 * min(len(own[a]), len(own[b])) and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    comp = classes(range(len(texts)), links)
+    number = {x: i for i, x in enumerate(texts)}
+    first = {}
+    for d, k, x in sorted(lines):
+        first.setdefault(comp[number[x]], (d, k))
+    got = {(r["doc_id"], r["line_no"]): ((r["keep_doc_id"], r["keep_line_no"]), r["kept"]) for r in run(spark, medium, "op1_line_dedup")}
+    assert set(got) == {(d, k) for d, k, _ in lines}
+    assert all((key == keep) == kept for key, (keep, kept) in got.items())
+    want = {(d, k): first[comp[number[x]]] for d, k, x in lines}
+    wrong = sum(got[key][0] != keep for key, keep in want.items())
+    assert wrong <= 0.001 * len(want), (wrong, len(want))  # a band may miss a link
+    assert links
+
+
+def test_op3_and_op4_return_doc_ids(spark, medium):
+    text = {r["doc_id"]: r["text"] for r in load(medium, "documents")}
+    for r in run(spark, medium, "op3_license_scan"):
+        assert r["coverage"] >= 0.8 and "icense" in text[r["doc_id"]]
+    lines = {d: t for d, t in text.items() if "Licensed under the Apache License, Version 2.0." in (t or "")}
+    assert {r["doc_id"] for r in run(spark, medium, "op3_license_scan") if r["license"] == "Apache-2.0-line"} >= set(lines)
+    secrets = {d for d, t in text.items() if re.search(r"\bAKIA[0-9A-Z]{16}\b|password=[0-9a-f]{18}|token = \"[0-9a-f]{40}\"", t or "")}
+    assert secrets and {r["doc_id"] for r in run(spark, medium, "op4_secret_scan") if r["kept"]} >= secrets
+
+
+def test_sql_none_for_models():
+    from swathgrid.llm.queries import ORACLE
+
+    assert set(ORACLE) <= set(QUERIES)
+    assert [n for n in QUERIES if n.startswith("op")] == sorted((n for n in QUERIES if n.startswith("op")), key=lambda n: int(re.match(r"op(\d+)", n)[1]))
+    with pytest.raises(KeyError):
+        QUERIES["op11"]
