@@ -21,7 +21,7 @@ from swathgrid.llm.toxicity import THRESHOLD, labelled, score, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; trained on the labelled ones among all documents."""
     model = train(*labelled(docs, table(spark, sf_dir, "labels"), "toxic", usable=lambda c: F.crc32(c.cast("string")) % 4 != 2))
-    return score(docs, model).where(F.col("score") < THRESHOLD).drop("score")
+    return score(docs, model, below=THRESHOLD)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
