@@ -9,6 +9,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,19 +124,60 @@ def clip_ring(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return np.array(poly, float).reshape(-1, 2)
 
 
+def _padded(rings) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of an Arrow array of rings as (rows, corners, 2), padded, and their number; a closing corner is dropped."""
+    n = np.array(rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    flat = rings.flatten()
+    points = np.stack([flat.field(f).to_numpy(zero_copy_only=False) for f in ("x", "y")], 1) if len(flat) else np.zeros((0, 2))
+    out = np.zeros((len(n), max(1, int(n.max(initial=0))), 2))
+    out[np.arange(out.shape[1])[None, :] < n[:, None]] = points
+    last = np.take_along_axis(out, np.maximum(n - 1, 0)[:, None, None], 1)[:, 0]
+    return out, n - ((n > 1) & (last == out[:, 0]).all(1))
+
+
+def clip_many(p: np.ndarray, n: np.ndarray, w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``clip_ring`` of all rows at once, on padded corners: each step cuts every row by one edge of its window."""
+    n, m = np.where((n >= 3) & (m >= 3), n, 0), np.where(n >= 3, m, 0)
+    at = np.arange(w.shape[1])[None, :]
+    nxt = np.take_along_axis(w, np.where(at + 1 < m[:, None], at + 1, 0)[:, :, None], 1)
+    turn = np.where(at < m[:, None], w[:, :, 0] * nxt[:, :, 1] - nxt[:, :, 0] * w[:, :, 1], 0).sum(1)
+    way = np.where(turn < 0, -1.0, 1.0)[:, None]
+    for k in range(w.shape[1]):
+        a, b, live = w[:, k, None], nxt[:, k, None], (k < m)[:, None]
+        valid = np.arange(p.shape[1])[None, :] < n[:, None]
+        side = way * ((b[:, :, 0] - a[:, :, 0]) * (p[:, :, 1] - a[:, :, 1]) - (b[:, :, 1] - a[:, :, 1]) * (p[:, :, 0] - a[:, :, 0]))
+        j = np.arange(p.shape[1])[None, :]
+        before = np.where(j > 0, j - 1, np.maximum(n - 1, 0)[:, None])
+        q, s0 = np.take_along_axis(p, before[:, :, None], 1), np.take_along_axis(side, before, 1)
+        inside, was = side >= 0, s0 >= 0
+        cross = valid & live & (inside != was)
+        t = np.where(cross, s0 / np.where(cross, s0 - side, 1.0), 0.0)[:, :, None]
+        both = np.stack([q + t * (p - q), p], 2)
+        keep = np.stack([cross, valid & (inside | ~live)], 2)
+        n = keep.sum((1, 2))
+        new = np.zeros((len(n), max(1, int(n.max(initial=0))), 2))
+        new[np.arange(new.shape[1])[None, :] < n[:, None]] = both[keep]
+        p = new
+    return p, n
+
+
 def clip(subject: str | Column, window: str | Column) -> Column:
-    @F.pandas_udf(RING)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([rows_of(clip_ring(points_of(x), points_of(y))) for x, y in zip(a, b)])
+    """The part of a ring inside a convex one; an empty ring where there is none."""
+    @F.arrow_udf(RING)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        p, n = clip_many(*_padded(a), *_padded(b))
+        points = p[np.arange(p.shape[1])[None, :] < n[:, None]]
+        corners = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), corners)
 
     return run(_col(subject), _col(window))
 
 
 def touches(a: str | Column, b: str | Column) -> Column:
     """Do two rings (b convex) share a point?"""
-    @F.pandas_udf("boolean")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(clip_ring(points_of(x), points_of(y))) > 0 for x, y in zip(a, b)])
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(clip_many(*_padded(a), *_padded(b))[1] > 0)
 
     return run(_col(a), _col(b))
 

@@ -160,6 +160,19 @@ def test_clip_and_measures(spark):
     assert df.where("back = ring and ok").count() == 1
 
 
+def test_clipping_many_equals_clipping_one():
+    rng = np.random.default_rng(8)
+    subjects = [rng.normal(size=(rng.integers(0, 8), 2)) for _ in range(300)]
+    angles = [np.sort(rng.uniform(0, 2 * np.pi, rng.integers(2, 7)))[:: rng.choice([-1, 1])] for _ in range(300)]
+    windows = [np.stack([np.cos(a), np.sin(a)], 1) * rng.uniform(0.2, 1.5) for a in angles]
+    pad = lambda rings: (np.stack([np.vstack([r, np.zeros((8 - len(r), 2))]) for r in rings]), np.array([len(r) for r in rings]))
+    got, n = geometry.clip_many(*pad(subjects), *pad(windows))
+    for k, (a, b) in enumerate(zip(subjects, windows)):
+        want = geometry.clip_ring(a, b)
+        area = lambda r: abs((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum()) / 2
+        assert abs(area(got[k, : n[k]]) - area(want)) < 1e-9
+
+
 def test_projections(spark):
     lon, lat = F.lit(12.5), F.lit(41.9)
     r = one(spark, s=projection.sinusoidal(lon, lat), u=projection.utm(lon, lat), r=projection.robinson(F.lit(180.0), F.lit(0.0)))
