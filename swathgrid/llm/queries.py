@@ -100,4 +100,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_near_dedup, op3_license_scan, op4_secret_scan, op5_chat_format, op6_token_files, op7_simhash, op8_decontaminate, op9_toxicity, op10_pack, pipeline)}
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ESCAPED = "(length({0}) + length({0}) - length(replace({0}, chr(92), '')) + (length({0}) - length(replace({0}, '</s>', ''))) // 4 + (length({0}) - length(replace({0}, '<s>', ''))) // 3 + (length({0}) - length(replace({0}, '[INST]', ''))) // 6 + (length({0}) - length(replace({0}, '[/INST]', ''))) // 7)"
+
+#: The same questions in SQL for an independent engine, for those that SQL can express.
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+  l as (select a.vec_id as a, b.vec_id as b from v as a join v as b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+  r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on r.b = l.a)
+select vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, (select min(b) from r where r.a = v.vec_id) as component_id, vec_id = (select min(b) from r where r.a = v.vec_id) as kept from v""",
+    "op5_chat_format": f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(9 + case when role = 'user' then 15 else 0 end + {_ESCAPED.format('role')} + {_ESCAPED.format('text')} + length(role) - length(replace(role, chr(10), '')))::bigint as formatted_chars
+from t group by conv_id""",
+    "op8_decontaminate": f"""with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+  bw as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select *, least(8, len(w)) as n from b where len(w) > 0), unnest(range(1, len(w) - n + 2)) as x(k)),
+  dw as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as g from d, (select distinct n from bw), unnest(range(1, len(w) - n + 2)) as x(k)),
+  h as (select distinct doc_id, item_id, n, k from dw join bw using (n, g)),
+  p as (select doc_id, count(distinct q) as n_hit from h, unnest(range(k, k + n)) as x(q) group by doc_id),
+  i as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated from d left join p using (doc_id) left join i using (doc_id)""",
+}
