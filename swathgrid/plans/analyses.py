@@ -30,9 +30,7 @@ def yearly_counts(samples: DataFrame, dims: DataFrame, first: int, last: int) ->
 
     A year's window includes its end, so a sample at midnight of New Year counts in both years.
     """
-    at_end = (F.month("acquired") == 1) & (F.dayofmonth("acquired") == 1) & (F.date_format("acquired", "HH:mm:ss.SSSSSS") == "00:00:00.000000")
-    year = F.year("acquired")
-    rows = samples.where(all_of(base(), within("acquired", f"{first}-01-01", f"{last + 1}-01-01"))).select("grid_id", F.coalesce(valid(), F.lit(False)).alias("ok"), F.explode(F.when(at_end, F.array(year - 1, year)).otherwise(F.array(year))).alias("year"))
+    rows = samples.where(all_of(base(), within("acquired", f"{first}-01-01", f"{last + 1}-01-01"))).select("grid_id", F.coalesce(valid(), F.lit(False)).alias("ok"), F.explode(_years_of("acquired")).alias("year"))
     tagged = rows.where(F.col("year").between(first, last)).select("grid_id", "year", F.explode(F.when(F.col("ok"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("valid"))
     n = tagged.groupBy("grid_id", "year", "valid").agg(F.count("*").alias("n"))
     flags = F.explode(F.array(F.lit(False), F.lit(True))).alias("valid")
@@ -70,6 +68,37 @@ def hex_gaps(samples: DataFrame, dims: DataFrame, year: int, pct: int, valid_onl
     return rollup.to_hex(joins.dim_left(dims.select("grid_id", "hex_id"), p, "grid_id"), {"median_gap": ("p", "median")})
 
 
+def _years_of(at: str) -> Column:
+    """The years in whose closed windows a time falls: two for midnight of New Year."""
+    year = F.year(at)
+    at_end = F.col(at) == F.make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return F.when(at_end, F.array(year - 1, year)).otherwise(F.array(year))
+
+
+def gaps_by_year(samples: DataFrame, first: int, last: int, pct: int, valid_only: bool) -> DataFrame:
+    """``grid_id, year, gap, sample_count`` of every year's closed window in one plan, not a query a year."""
+    rows = samples.where(all_of(base(), within("solar_time", f"{first}-01-01", f"{last + 1}-01-01"), valid() if valid_only else None))
+    days = rows.select("grid_id", day("solar_time").alias("ts"), F.explode(_years_of("solar_time")).alias("year")).where(F.col("year").between(first, last)).distinct()
+    ends = F.array(*[F.make_date(F.col("year") + k, F.lit(1), F.lit(1)) for k in (0, 1)])
+    marked = days.unionByName(days.select("grid_id", "year").distinct().select("grid_id", F.explode(ends).alias("ts"), "year"))
+    before = F.lag("ts").over(W.partitionBy("grid_id", "year").orderBy("ts"))
+    gap = marked.select("grid_id", "year", F.datediff("ts", before).cast("double").alias("gap"))
+    p = gap.groupBy("grid_id", "year").agg(F.percentile("gap", F.lit(pct / 100)).alias("gap"), (F.count("*") - 2).alias("sample_count"))
+    return p
+
+
+def multi_year_median(samples: DataFrame, first: int, last: int, pct: int, valid_only: bool) -> DataFrame:
+    """Per cell the median over years of its gap percentile; years with fewer than two samples do not count."""
+    p = gaps_by_year(samples, first, last, pct, valid_only).select("grid_id", F.when(F.col("sample_count") >= 2, F.col("gap")).alias("gap"))
+    return p.groupBy("grid_id").agg(F.median("gap").alias("median_gap"))
+
+
+def cumulative(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A histogram's running share in percent per group, over its few bins."""
+    w = W.partitionBy(*by)
+    return histogram.withColumn("cum_pct", 100.0 * F.sum("n").over(w.orderBy("upper")) / F.sum("n").over(w))
+
+
 def gaps_by_clear(samples: DataFrame, dims: DataFrame, year: int, pct: int, thresholds: tuple[float, ...] = (0, 25, 50, 75, 100)) -> DataFrame:
     """``clear, grid_id, gap`` for each threshold (inclusive) in one plan: samples are exploded to the thresholds they
     reach; cells without a value have 365 days."""

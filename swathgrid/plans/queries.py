@@ -558,3 +558,44 @@ def op_solar_seconds(spark, d):
 @query("op_valid_variants", f"select grid_id, count_if({VALID} 75) as strict, count_if({OK} and has_sr_asset and clear_percent >= 50) as inclusive, count_if({OK} and clear_percent > 75) as without_sr from samples group by grid_id", SAMPLES)
 def op_valid(spark, d):
     return samples(spark, d).groupBy("grid_id").agg(F.count_if(valid()).alias("strict"), F.count_if(valid(50.0, at_least=True)).alias("inclusive"), F.count_if(valid(sr=False)).alias("without_sr"))
+
+
+@query(
+    "q14c_multi_year_median",
+    "select grid_id, round(median(case when k >= 2 then x end), 6) as median_gap from (select grid_id, y, quantile_cont(gap, 0.9) as x, count(*) - 1 as k from g where gap is not null group by all) group by grid_id",
+    SAMPLES,
+    f"""d as (select distinct grid_id, y.y, cast(solar_time as date) as t from samples, (select unnest(range(1996, 2000)) as y) as y where {BASE} and solar_time between make_timestamp(y.y, 1, 1, 0, 0, 0) and make_timestamp(y.y + 1, 1, 1, 0, 0, 0)),
+  m as (select * from d union all select distinct grid_id, y, make_date(y::bigint + e, 1, 1) from d, (values (0), (1)) as e(e)), g as (select grid_id, y, cast(t - lag(t) over (partition by grid_id, y order by t) as double) as gap from m)""",
+)
+def q14c(spark, d):
+    return _rounded(A.multi_year_median(samples(spark, d), 1996, 1999, 90, False), "median_gap")
+
+
+@query("q14d_gap_cdf", "select upper, n, round(100.0::double * sum(n) over (order by upper) / sum(n) over (), 6) as cum_pct from (" + _hist("g", "gap", EDGES) + ")", SAMPLES, _gaps(f"{BASE} and {VALID} 25 and solar_time {Y}"))
+def q14d(spark, d):
+    return _rounded(A.cumulative(q02(spark, d)), "cum_pct")
+
+
+@query("op_hourly_counts", "select grid_id, date_trunc('hour', acquired) as hour, count(*) as n from captures group by all", CAPTURES)
+def op_hourly(spark, d):
+    return captures(spark, d).groupBy("grid_id", F.window("acquired", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("grid_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
+
+
+@query("op_scaled_by_bounds", "select id, round((clear_percent - low) / (high - low), 6) as scaled from samples, (select min(clear_percent) as low, max(clear_percent) as high from samples)", SAMPLES)
+def op_scaled(spark, d):
+    s = samples(spark, d)
+    b = s.agg(F.min("clear_percent").alias("low"), F.max("clear_percent").alias("high"))
+    return s.crossJoin(F.broadcast(b)).select("id", r6(F.try_divide(F.col("clear_percent") - F.col("low"), F.col("high") - F.col("low"))).alias("scaled"))
+
+
+@query("op_ocean_mask", "select grid_id from dims where grid_id not in (select grid_id from dims where is_land) or grid_id in (select grid_id from dims where is_coast)", GRIDS)
+def op_mask(spark, d):
+    from ..operators.grids import ocean_mask
+
+    g = grids(spark, d)
+    return ocean_mask(g, g.where("is_land"), g.where("is_coast"), "grid_id").select("grid_id")
+
+
+@query("op_stage_then_clear_order", "select grid_id, id from (select *, row_number() over (partition by grid_id order by clear_percent desc, id) as r from captures) where r = 1", CAPTURES)
+def op_top(spark, d):
+    return rollup.best_first(captures(spark, d), ["grid_id"], [F.col("clear_percent").desc()], "id").select("grid_id", "id")
