@@ -16,13 +16,20 @@ def right_closed(x: Column, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), out)
 
 
+def _packed(df: DataFrame, bin_of: Column, by: tuple[str, ...]) -> DataFrame:
+    """``by, m``: one map of counts per group, in a single pass over df; a group has as many entries as bins."""
+    counts = df.groupBy(*by, bin_of.alias("bin")).agg(F.count("*").alias("n"))
+    entries = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))
+    return counts.groupBy(*by).agg(F.map_from_entries(entries).alias("m"))
+
+
 def histogram(df: DataFrame, x: Column, edges: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """``by, upper, n``: right-closed counts, every edge present and infinity only where something lies beyond."""
-    counts = df.where(x.isNotNull()).groupBy(*by, right_closed(x, edges).alias("upper")).agg(F.count("*").alias("n"))
-    keys = counts.select(*by).distinct() if by else counts.limit(1).select(F.lit(1).alias("__one"))
-    spine = keys.select(*by, F.explode(F.array(*[F.lit(float(e)) for e in edges])).alias("upper"))
-    full = spine.join(counts.where(F.col("upper") < math.inf), [*by, "upper"], "left").select(*by, "upper", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.unionByName(counts.where(F.col("upper") == math.inf).select(*by, "upper", "n"))
+    packed = _packed(df.where(x.isNotNull()), right_closed(x, edges), by).where(F.size("m") > 0)
+    full = F.transform(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.struct(e.alias("upper"), F.coalesce(F.try_element_at("m", e), F.lit(0).cast("long")).alias("n")))
+    beyond = F.lit(math.inf)
+    last = F.when(F.map_contains_key("m", beyond), F.array(F.struct(beyond.alias("upper"), F.try_element_at("m", beyond).alias("n")))).otherwise(F.slice(full, 1, 0))
+    return packed.select(*by, F.explode(F.concat(full, last)).alias("e")).select(*by, "e.upper", "e.n")
 
 
 def histogram_map(df: DataFrame, x: Column, edges: list[float]) -> DataFrame:
@@ -37,10 +44,9 @@ def left_closed(df: DataFrame, x: Column, edges: list[float], by: tuple[str, ...
     at = F.lit(None).cast("int")
     for k in reversed(range(n)):
         at = F.when((x >= edges[k]) & ((x < edges[k + 1]) if k < n - 1 else (x <= edges[k + 1])), F.lit(k)).otherwise(at)
-    counts = df.where(x.isNotNull() & ~F.isnan(x.cast("double"))).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n")).where("bin is not null")
-    keys = df.select(*by).distinct() if by else df.sparkSession.range(1)
-    spine = keys.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
-    return spine.join(counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    packed = _packed(df, F.when(~F.isnan(x.cast("double")), at), by)
+    full = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("bin"), F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")).alias("n")))
+    return packed.select(*by, F.explode(full).alias("e")).select(*by, "e.bin", "e.n")
 
 
 def nice_edges(low: float, high: float, bins: int) -> list[float]:

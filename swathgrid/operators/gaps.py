@@ -21,13 +21,26 @@ def _selected(samples: DataFrame, column: str, year: int, valid_only: bool, extr
     return samples.where(all_of(base(), in_year(column, year, Closed.BOTH), valid(clear) if valid_only else None, extra))
 
 
-def solar_day_gaps(samples: DataFrame, year: int, valid_only: bool = False, extra: Column | None = None, clear: float = 75.0) -> tuple[DataFrame, DataFrame]:
-    """(gaps in days between a cell's distinct solar days, window ends included; those days)."""
-    days = _selected(samples, "solar_time", year, valid_only, extra, clear).select("grid_id", day("solar_time").alias("ts")).distinct()
-    rows = with_markers(days, "grid_id", "ts", F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year + 1}-01-01").cast("date"))
-    before = F.lag("ts").over(W.partitionBy("grid_id").orderBy("ts"))
-    gaps = rows.select("grid_id", F.datediff("ts", before).cast("double").alias("gap")).where("gap is not null")
-    return gaps, days
+def day_gaps(days: DataFrame, keys: list[str], at: str, start: Column, end: Column) -> DataFrame:
+    """``keys, sample_count, gap`` between a key's distinct days of one window, its ends included.
+
+    A window has a bounded number of days, so a key's days fit one array: one shuffle, no window sort, no self-join.
+    """
+    sets = days.groupBy(*keys).agg(F.array_sort(F.collect_set(at)).alias("d"))
+    line = F.concat(F.array(start), F.col("d"), F.array(end))
+    gaps = F.zip_with(F.slice(line, 2, F.size(line) - 1), F.slice(line, 1, F.size(line) - 1), lambda b, a: F.datediff(b, a).cast("double"))
+    return sets.select(*keys, F.size("d").cast("long").alias("sample_count"), F.explode(gaps).alias("gap"))
+
+
+def solar_day_gaps(samples: DataFrame, year: int, valid_only: bool = False, extra: Column | None = None, clear: float = 75.0) -> DataFrame:
+    """``grid_id, sample_count, gap``: days between a cell's distinct solar days in a year, window ends included."""
+    days = _selected(samples, "solar_time", year, valid_only, extra, clear).select("grid_id", day("solar_time").alias("ts"))
+    return day_gaps(days, ["grid_id"], "ts", F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year + 1}-01-01").cast("date"))
+
+
+def day_gap_percentile(gaps: DataFrame, pct: int) -> DataFrame:
+    """``grid_id, p{pct}_days_between, sample_count``; the gaps stand together already, so nothing is shuffled."""
+    return gaps.groupBy("grid_id", "sample_count").agg(F.percentile("gap", F.lit(pct / 100)).alias(f"p{pct}_days_between")).select("grid_id", f"p{pct}_days_between", "sample_count")
 
 
 def epoch_gaps(samples: DataFrame, year: int, valid_only: bool = False, hours: float = 0, extra: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -59,7 +59,7 @@ def reach(samples: DataFrame, dims: DataFrame, item_type: str, least: tuple[int,
 
 # -- revisit gaps --------------------------------------------------------------------------------------------------------
 def gap_percentiles(samples: DataFrame, year: int, pct: int, valid_only: bool, extra: Column | None = None, clear: float = 75.0) -> DataFrame:
-    return gaps.gap_percentile(*gaps.solar_day_gaps(samples, year, valid_only, extra, clear), pct)
+    return gaps.day_gap_percentile(gaps.solar_day_gaps(samples, year, valid_only, extra, clear), pct)
 
 
 def hex_gaps(samples: DataFrame, dims: DataFrame, year: int, pct: int, valid_only: bool, extra: Column | None = None, clear: float = 75.0) -> DataFrame:
@@ -78,13 +78,9 @@ def _years_of(at: str) -> Column:
 def gaps_by_year(samples: DataFrame, first: int, last: int, pct: int, valid_only: bool) -> DataFrame:
     """``grid_id, year, gap, sample_count`` of every year's closed window in one plan, not a query a year."""
     rows = samples.where(all_of(base(), within("solar_time", f"{first}-01-01", f"{last + 1}-01-01"), valid() if valid_only else None))
-    days = rows.select("grid_id", day("solar_time").alias("ts"), F.explode(_years_of("solar_time")).alias("year")).where(F.col("year").between(first, last)).distinct()
-    ends = F.array(*[F.make_date(F.col("year") + k, F.lit(1), F.lit(1)) for k in (0, 1)])
-    marked = days.unionByName(days.select("grid_id", "year").distinct().select("grid_id", F.explode(ends).alias("ts"), "year"))
-    before = F.lag("ts").over(W.partitionBy("grid_id", "year").orderBy("ts"))
-    gap = marked.select("grid_id", "year", F.datediff("ts", before).cast("double").alias("gap"))
-    p = gap.groupBy("grid_id", "year").agg(F.percentile("gap", F.lit(pct / 100)).alias("gap"), (F.count("*") - 2).alias("sample_count"))
-    return p
+    days = rows.select("grid_id", day("solar_time").alias("ts"), F.explode(_years_of("solar_time")).alias("year")).where(F.col("year").between(first, last))
+    g = gaps.day_gaps(days, ["grid_id", "year"], "ts", *[F.make_date(F.col("year") + k, F.lit(1), F.lit(1)) for k in (0, 1)])
+    return g.groupBy("grid_id", "year", "sample_count").agg(F.percentile("gap", F.lit(pct / 100)).alias("gap"))
 
 
 def multi_year_median(samples: DataFrame, first: int, last: int, pct: int, valid_only: bool) -> DataFrame:
@@ -104,10 +100,8 @@ def gaps_by_clear(samples: DataFrame, dims: DataFrame, year: int, pct: int, thre
     reach; cells without a value have 365 days."""
     ok = samples.where(all_of(base(), in_year("solar_time", year), valid(None)))
     reached = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("clear_percent") >= t)
-    days = ok.select("grid_id", day("solar_time").alias("ts"), F.explode(reached).alias("clear")).distinct()
-    marks = days.select("grid_id", "clear").distinct().select("grid_id", F.explode(F.array(F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year + 1}-01-01").cast("date"))).alias("ts"), "clear")
-    before = F.lag("ts").over(W.partitionBy("grid_id", "clear").orderBy("ts"))
-    g = days.unionByName(marks).select("grid_id", "clear", F.datediff("ts", before).cast("double").alias("gap"))
+    days = ok.select("grid_id", day("solar_time").alias("ts"), F.explode(reached).alias("clear"))
+    g = gaps.day_gaps(days, ["grid_id", "clear"], "ts", F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year + 1}-01-01").cast("date"))
     p = g.groupBy("grid_id", "clear").agg(F.percentile("gap", F.lit(pct / 100)).alias("gap"))
     spine = dims.select("grid_id", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("clear"))
     return rollup.reindex(p, spine, ["grid_id", "clear"], {"gap": 365.0})
@@ -148,12 +142,16 @@ def local_time_density(samples: DataFrame, year: int, low: float, high: float, n
 
 # -- dataset statistics --------------------------------------------------------------------------------------------------
 def dataset_stats(samples: DataFrame, approximate: bool = False) -> DataFrame:
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    when8 = lambda c: F.when(F.col("has_8_channel"), F.col(c))
-    when4 = lambda c: F.when(~F.col("has_8_channel"), F.col(c))
-    return samples.where(base(coverage=None)).agg(
-        distinct(when4("id")).alias("count_4_channel"), distinct(when8("id")).alias("count_8_channel"), distinct("id").alias("sample_count"), F.min(when8("acquired")).alias("first_8_date"), F.max(when4("acquired")).alias("last_4_date"), F.min("acquired").alias("first_sample_date"), F.max("acquired").alias("last_sample_date")
-    )
+    """Distinct scenes by bands and first and last dates; exact counts group by scene once instead of expanding rows."""
+    has8, at = F.col("has_8_channel"), F.col("acquired")
+    dates = [F.min(F.when(has8, at)).alias("first_8_date"), F.max(F.when(~has8, at)).alias("last_4_date"), F.min(at).alias("first_sample_date"), F.max(at).alias("last_sample_date")]
+    rows = samples.where(base(coverage=None))
+    if approximate:
+        distinct = F.approx_count_distinct
+        return rows.agg(distinct(F.when(~has8, F.col("id"))).alias("count_4_channel"), distinct(F.when(has8, F.col("id"))).alias("count_8_channel"), distinct("id").alias("sample_count"), *dates)
+    one = rows.groupBy("id").agg(F.bool_or(has8).alias("is8"), F.bool_or(~has8).alias("is4"), *dates)
+    n = lambda c: F.count_if(F.col("id").isNotNull() & c)
+    return one.agg(n(F.col("is4")).alias("count_4_channel"), n(F.col("is8")).alias("count_8_channel"), F.count("id").alias("sample_count"), F.min("first_8_date").alias("first_8_date"), F.max("last_4_date").alias("last_4_date"), F.min("first_sample_date").alias("first_sample_date"), F.max("last_sample_date").alias("last_sample_date"))
 
 
 def first_majority_month(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -163,9 +161,14 @@ def first_majority_month(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFr
 
 
 def quality_shares(samples: DataFrame, approximate: bool = False) -> DataFrame:
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    ok, clear = valid(None), valid()
-    return samples.where(base(coverage=None)).agg(distinct("id").alias("images"), distinct(F.when(ok, F.col("id"))).alias("valid_images"), distinct(F.when(clear, F.col("id"))).alias("clear_images"), F.count("*").alias("samples"), F.count_if(ok).alias("valid_samples"), F.count_if(clear).alias("clear_samples"))
+    """Distinct images and samples: all, valid, valid and clear."""
+    ok, clear, rows = F.coalesce(valid(None), F.lit(False)), F.coalesce(valid(), F.lit(False)), samples.where(base(coverage=None))
+    if approximate:
+        distinct = F.approx_count_distinct
+        return rows.agg(distinct("id").alias("images"), distinct(F.when(ok, F.col("id"))).alias("valid_images"), distinct(F.when(clear, F.col("id"))).alias("clear_images"), F.count("*").alias("samples"), F.count_if(ok).alias("valid_samples"), F.count_if(clear).alias("clear_samples"))
+    one = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(clear).alias("n_clear"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return one.agg(F.count("id").alias("images"), F.count_if(F.col("id").isNotNull() & (F.col("n_ok") > 0)).alias("valid_images"), F.count_if(F.col("id").isNotNull() & (F.col("n_clear") > 0)).alias("clear_images"), total("n").alias("samples"), total("n_ok").alias("valid_samples"), total("n_clear").alias("clear_samples"))
 
 
 def eight_band_start(samples: DataFrame, dims: DataFrame, before: str, today: Column | None = None) -> DataFrame:

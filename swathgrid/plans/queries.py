@@ -74,7 +74,7 @@ def _hist(source: str, x: str, edges: list[float], by: str = "") -> str:
 
 @query("q02_solar_gap_hist", _hist("g", "gap", EDGES), SAMPLES, _gaps(f"{BASE} and {VALID} 25 and solar_time {Y}"))
 def q02(spark, d):
-    return G.gap_histogram(G.solar_day_gaps(samples(spark, d), 1998, True, clear=25.0)[0], EDGES)
+    return G.gap_histogram(G.solar_day_gaps(samples(spark, d), 1998, True, clear=25.0), EDGES)
 
 
 EVENT_GAPS = f"""r as (select grid_id, epoch(acquired) as t from captures where {BASE} and acquired between timestamp '2024-01-01' and timestamp '2025-01-01'),

@@ -68,12 +68,12 @@ def scenes(spark, *rows):
 
 def test_gap_markers(spark):
     df = scenes(spark, (1, "a", 1, "2023-01-01T05:00", 90.0, "finalized"), (1, "b", 1, "2023-07-01T00:00", 90.0, "finalized"), (1, "c", 1, "2024-01-01T00:00", 90.0, "finalized"), (2, "d", 1, "2023-03-01T00:00", 90.0, "finalized"))
-    g, days = gaps.solar_day_gaps(df, 2023)
+    g = gaps.solar_day_gaps(df, 2023)
     by = {}
     for r in g.collect():
         by.setdefault(r.grid_id, []).append(r.gap)
     assert sorted(by[1]) == [0.0, 0.0, 181.0, 184.0] and sum(by[2]) == 365.0
-    p = {r.grid_id: r.sample_count for r in gaps.gap_percentile(g, days, 90).collect()}
+    p = {r.grid_id: r.sample_count for r in gaps.day_gap_percentile(g, 90).collect()}
     assert p == {1: 3, 2: 1}
     dims = spark.createDataFrame([(1, 7), (2, 8)], "grid_id long, hex_id long")
     assert {r.hex_id: r.median_gap for r in analyses.hex_gaps(df, dims, 2023, 50, False).collect()} == {7: 90.5, 8: None}
