@@ -25,6 +25,11 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
 
 
+def constant(points: list[tuple[float, float]]) -> Column:
+    """A literal ring."""
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
+
+
 def _next(ring: Column, i: Column) -> Column:
     return F.get(ring, (i + 1) % F.size(ring))
 

@@ -121,6 +121,26 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, li
     return near.join(best.select(left_key, F.col("b.dist").alias("__d")), left_key).where(F.col("dist") == F.col("__d")).drop("__d")
 
 
+def within_any(points: DataFrame, layers: list[DataFrame], point_key: str, area_key: str, size: float = 1.0) -> DataFrame:
+    """Distinct keys of points within an area of any layer."""
+    found = [points_in(points, layer, point_key, area_key, size=size).select(point_key) for layer in layers]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
+def distance_to_lines(points: DataFrame, lines: DataFrame, point_key: str, step: float, limit: float) -> DataFrame:
+    """``point_key, dist`` to the nearest of the lines' corners, densified to step; points beyond limit are absent."""
+    corners = lines.select(F.explode(G.segmentize("ring", step)).alias("p")).select("p.x", "p.y").withColumn("__c", F.xxhash64("x", "y"))
+    return nearest(points, corners, point_key, "__c", limit).select(point_key, "dist")
+
+
+def outside(points: DataFrame, region: list[tuple[float, float]]) -> DataFrame:
+    """Points (x, y) that are not within a constant region."""
+    return points.where(~G.contains(G.constant(region), F.col("x"), F.col("y")))
+
+
 def assign(left: DataFrame, right: DataFrame, left_key: str, right_key: str, limit: float | None = None, size: float = 1.0) -> DataFrame:
     """Each left polygon's right id: the largest overlap (ties: lowest id), else the nearest within limit, else -1."""
     shared = overlay(left, right, left_key, right_key, size=size).groupBy(left_key).agg(F.max_by(right_key, F.struct("overlap_area", -F.col(right_key))).alias("__a"))

@@ -144,6 +144,15 @@ def test_nearest_ties(spark):
     assert {r.b for r in joins.nearest(left, right, "a", "b", 2.0, ties=True).collect()} == {4, 7}
 
 
+def test_layers_lines_and_regions(spark):
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 5.5, 5.5), (3, 2.0, 0.2)], "id long, x double, y double")
+    layers = [boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)], "k"), boxes(spark, [(2, 5.0, 5.0, 6.0, 6.0), (3, 0.0, 0.0, 0.6, 0.6)], "k")]
+    assert sorted(r.id for r in joins.within_any(pts, layers, "id", "k").collect()) == [1, 2]
+    near = {r.id: r.dist for r in joins.distance_to_lines(pts, layers[0], "id", 0.25, 2.0).collect()}
+    assert set(near) == {1, 3} and near[1] == 0.5 and abs(near[3] - math.hypot(1.0, 0.05)) < 1e-9
+    assert [r.id for r in joins.outside(pts, [(0, 0), (3, 0), (3, 3), (0, 3)]).collect()] == [2]
+
+
 def test_clip_and_measures(spark):
     star = np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float)
     got = geometry.clip_ring(star, np.array([(1, 0), (3, 0), (3, 3), (1, 3)], float))
