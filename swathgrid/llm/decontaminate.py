@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 WORDS_IN_WINDOW = 8
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast block; its index takes some forty times that in a worker.
+BLOCK_BYTES = 4 << 20
 
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 #: Lower-cases A-Z and turns every ASCII character but letters and digits into a space, byte by byte.

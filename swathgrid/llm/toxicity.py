@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Labelled rows that training takes at most (those with the least hash of their doc_id), a bound on the driver's memory.
+#: Labelled rows, and bytes of their texts, that training takes at most: those with the least hash of their doc_id, a bound
+#: on the driver's memory.
 MAX_TRAINING_ROWS = 5000
+MAX_TRAINING_BYTES = 128 << 20
 BUCKETS = 1 << 17
 DIM = 4
 NGRAMS = (3, 5)
@@ -28,7 +30,7 @@ NULL_WORDS = 10
 #: Words of fewer training texts teach nothing.
 MIN_TEXTS = 3
 #: Words whose logits a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 
 _SPACE = bytes(0x20 if b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -173,15 +175,22 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 14, rate: float =
     return best[1]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable=None, bound: int = MAX_TRAINING_ROWS) -> tuple[list[bytes], list[int]]:
-    """Texts and labels to train on: at most ``bound`` rows, those with the least hash of their doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable=None, bound: int = MAX_TRAINING_ROWS, bytes_bound: int = MAX_TRAINING_BYTES) -> tuple[list[bytes], list[int]]:
+    """Texts and labels to train on: at most ``bound`` rows and ``bytes_bound`` bytes, in order of the hash of their doc_id."""
     own = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
     if usable is not None:
         own = own.where(usable(F.col("__id")))
     own = own.orderBy(F.xxhash64("__id"), "__id", "__label").limit(bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("text", "__label", F.xxhash64("doc_id").alias("h")).collect()  # bounded by the limit
-    rows.sort(key=lambda r: (r.h, r["__label"], r.text or ""))
-    return [(r.text or "").encode() for r in rows], [r["__label"] for r in rows]
+    joined = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("text", "__label", F.xxhash64("doc_id").alias("h"))
+    texts, labels_of, total = [], [], 0
+    for r in joined.orderBy("h", "__label", "text").toLocalIterator():
+        raw = (r.text or "").encode()
+        total += len(raw)
+        if total > bytes_bound and texts or len(texts) == bound:
+            break
+        texts.append(raw)
+        labels_of.append(r["__label"])
+    return texts, labels_of
 
 
 def score(docs: DataFrame, model: Model, below: float | None = None) -> DataFrame:
