@@ -16,7 +16,7 @@ import numpy as np
 _SAFE = "[!-~¡-˿]"
 _CUT = re.compile(f"(?<={_SAFE}) (?={_SAFE})")
 #: Chunks that a worker remembers (the first ones it meets), a bound on its memory only.
-MEMO = 1_200_000
+MEMO = 400_000
 
 
 class Encoder:
@@ -87,6 +87,19 @@ class Encoder:
         return [np.frombuffer(b"".join(row), kind).astype("<u4") for row in known]
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system: idle workers keep what they remember only."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import encoder, release
 
 
 @dataclass(frozen=True)
@@ -216,6 +216,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, limits: Limits = Lim
                 yield from out()
         packer.finish()
         yield from out()
+        release()
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")] + ([F.col(prompt).alias("prompt")] if prompt else [])
     return docs.select(*columns).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, written
-from .encoding import encoder
+from .encoding import encoder, release
 
 SEQUENCE = 1024
 #: Sequences in one record batch of a file.
@@ -169,6 +169,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
             sink.close()
             index_sink.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}.arrow"], "index": [f"{folder}/{name}.index.arrow"], "low": pa.array([low], pa.int64()), "part": pa.array([context.partitionId()], pa.int64()), "n_ids": [n], "n_docs": [n_docs]})
+        release()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     parts = written(ordered.mapInArrow(write, "file string, index string, low long, part long, n_ids long, n_docs long"), "manifest")

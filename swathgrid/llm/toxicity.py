@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .encoding import release
+
 #: Labelled rows, and bytes of their texts, that training takes at most: those with the least hash of their doc_id, a bound
 #: on the driver's memory.
 MAX_TRAINING_ROWS = 5000
@@ -213,5 +215,6 @@ def score(docs: DataFrame, model: Model, below: float | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
             else:
                 yield b.filter(pa.array([x < below for x in scores], pa.bool_()))
+        release()
 
     return rows.mapInArrow(run, schema)
