@@ -22,7 +22,8 @@ MEMO = 400_000
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit arrays, without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = MEMO):
+        self._remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ class Encoder:
                 new[c] = array(self._code, e.ids).tobytes()
         for t, k in holes:
             known[t][k] = new[cut[t][k]]
-        if len(self._memo) + len(new) <= MEMO:
+        if len(self._memo) + len(new) <= self._remember:
             self._memo.update(new)
         kind = np.dtype("<u2" if self._code == "H" else "<u4")
         return [np.frombuffer(b"".join(row), kind).astype("<u4") for row in known]
@@ -103,8 +104,8 @@ def release() -> None:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+def encoder(path: str, remember: int = MEMO) -> Encoder:
+    """The worker's encoder for a vocabulary file, which remembers so many chunks (about 200 bytes each)."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, remember)
     return _encoders[path]

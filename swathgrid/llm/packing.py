@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder, release
+from .encoding import MEMO, encoder, release
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ class Packer:
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, limits: Limits = Limits(), text: str = "text", prompt: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, limits: Limits = Limits(), text: str = "text", prompt: str | None = None, remember: int = MEMO) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, loss_tokens, sequence_id, offset``.
 
     A document is its text's ids and ``end_id`` behind them (null text: only that). ``prompt`` names an optional text
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, limits: Limits = Lim
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, remember)
         packer = Packer(limits)
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4")

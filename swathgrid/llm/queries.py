@@ -89,7 +89,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    found = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+    found = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, remember=1_200_000)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
