@@ -1,8 +1,8 @@
 """License scans by patience alignment.
 
 Words unique to both text and template are anchors; the longest increasing subsequence of their positions is kept, and the
-gaps between anchors are aligned in the same way. A gap without unique words is aligned by the longest common subsequence
-if it is small, by its common head and tail otherwise. Coverage is the share of the template's words so aligned.
+gaps between anchors are aligned in the same way. A gap without unique words is aligned by the longest common subsequence,
+whatever its size: its sides are bounded by a run and the template. Coverage is the share of the template's words so aligned.
 
 Whole texts are scanned: runs of words near template words are found first, and one is aligned only if the words it shares
 with the template (as bags) could reach the threshold, a bound that loses nothing.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .decontaminate import words_of
 
 THRESHOLD = 0.8
-#: Products of gap sides up to which the longest common subsequence is computed.
-SMALL_GAP = 4096
 
 # Notices as their licences give them.
 TEMPLATES: dict[str, str] = {
@@ -95,8 +93,7 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
         pairs = [(place[w], k) for k, w in enumerate(b) if cb[w] == 1 and w in place]  # by template position
         chosen = [pairs[k] for k in increasing([p for p, _ in pairs])]
         if not chosen:
-            if len(a) * len(b) <= SMALL_GAP:
-                out += _common(a, b, a0, b0)
+            out += _common(a, b, a0, b0)
             continue
         la, lb = a0, b0
         for i, j in [*chosen, (len(a), len(b))]:

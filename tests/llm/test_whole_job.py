@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 
-from swathgrid.llm import line_dedup
+from swathgrid.llm import licenses, line_dedup
 
 
 def documents(spark, texts, ids=None):
@@ -58,3 +58,12 @@ def test_line_classes_against_shingles_at_every_position(spark, small):
     got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_dedup.line_classes(spark.read.parquet(f"{small}/documents.parquet")).collect()}
     assert set(got) == set(want) and len(set(want.values())) < len(texts)
     assert sum(got[at] != want[at] for at in want) <= 0.001 * len(want)
+
+
+def test_adjacent_notices_are_found():
+    prose = "the river ran past a mill and the people of the village came to see what it had brought them in that long wet spring"
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    for name in ("MIT", "Apache-2.0-notice", "GPL-3.0-notice", "BSD-2-Clause"):
+        for copies, between in ((2, 0), (2, 5), (2, 20), (3, 0), (3, 5)):
+            text = " ".join([prose, (" " + "stone " * between).join([licenses.TEMPLATES[name]] * copies), prose])
+            assert [f[1] for f in scanner.scan(text.encode()) if f[0] == name] == [1.0], (name, copies, between)
