@@ -2,7 +2,7 @@
 
 Words are the runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. The n-grams of one block of
 benchmark items, bounded in bytes, are collected and broadcast; a benchmark over the bound is scanned block by block and
-the blocks' hits are merged by document, so no broadcast grows with its input.
+the blocks' hits are merged by document row, so no broadcast grows with its input.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import again, written
 
 WORDS_IN_WINDOW = 8
 #: Bytes of benchmark text in one broadcast block; its index takes some forty times that in a worker.
@@ -25,6 +25,9 @@ _SEPARATORS = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B
 #: Lower-cases A-Z and turns every ASCII character but letters and digits into a space, byte by byte.
 _NORMAL = bytes(0x20 if b in _SEPARATORS else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
+#: A character that Python's str.strip leaves, for the same definition of blank in SQL.
+_NOT_BLANK = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 _HITS = "key long, n_words long, spans array<struct<first:long,last:long,char_first:long,char_end:long>>, items array<string>"
 
 
@@ -99,6 +102,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     spark = docs.sparkSession
     sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.max(F.octet_length("text")).alias("m")).first()
     blocks = max(1, -(-sizes.b // block_bytes))
+    scanned = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if blocks > 1:  # rows are numbered once, as keys may repeat or be null
+        numbered = written(scanned.select(F.col("key").alias("own"), F.monotonically_increasing_id().alias("key"), "text"), "rows")
+        scanned = numbered.select("key", "text")
     parts = []
     for k in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else benchmark
@@ -117,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                     all_items.append(sorted(items))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(all_spans, schema.field(2).type), pa.array(all_items, schema.field(3).type)], schema=schema)
 
-        parts.append(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(scan, _HITS))
+        parts.append(scanned.mapInArrow(scan, _HITS))
     if blocks == 1:
         return parts[0]
     found = written(parts[0], "hits")
@@ -129,7 +136,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         "if(size(a) > 0 and x.first <= element_at(a, -1).last + 1, concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, "
         "'last', greatest(element_at(a, -1).last, x.last), 'char_first', element_at(a, -1).char_first, 'char_end', greatest(element_at(a, -1).char_end, x.char_end)))), concat(a, array(x))))"
     )
-    return grouped.select("key", "n_words", merged.alias("spans"), "items")
+    hits = grouped.select(F.col("key").alias("n"), "n_words", merged.alias("spans"), "items")
+    return hits.join(again(numbered).select("own", "key"), F.col("n") == F.col("key")).select(F.col("own").alias("key"), "n_words", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS_IN_WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,11 +150,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS_IN_WINDO
     spark = docs.sparkSession
     sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     if sizes.b > block_bytes:
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
-        found = find_contamination(packed, benchmark, n=n, block_bytes=block_bytes).where(F.size("items") > 0).dropDuplicates(["key"])
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"))
+        packed = written(packed, "rows").select("row", "key", F.col("row.text").alias("text"))
+        found = find_contamination(packed, benchmark, n=n, block_bytes=block_bytes).where(F.size("items") > 0)
         joined = packed.join(found, "key", "left").where(F.coalesce(F.size("items"), F.lit(0)) < min_items)
         cut = F.expr("aggregate(spans, named_struct('at', 0L, 'out', ''), (a, x) -> named_struct('at', x.char_end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.char_first - a.at as int)))), a -> concat(a.out, substring(text, cast(a.at + 1 as int))))")
-        left = joined.withColumn("left", F.when(F.col("items").isNotNull(), cut).otherwise(F.col("text"))).where(F.col("items").isNull() | (F.trim("left") != ""))
+        left = joined.withColumn("left", F.when(F.col("items").isNotNull(), cut).otherwise(F.col("text"))).where(F.col("items").isNull() | F.col("left").rlike(_NOT_BLANK))
         return left.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
     held = spark.sparkContext.broadcast(window_index(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n))
     at = docs.columns.index("text")

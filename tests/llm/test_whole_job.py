@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 
-from swathgrid.llm import licenses, line_dedup
+from swathgrid.llm import decontaminate, licenses, line_dedup
 
 
 def documents(spark, texts, ids=None):
@@ -67,3 +67,14 @@ def test_adjacent_notices_are_found():
         for copies, between in ((2, 0), (2, 5), (2, 20), (3, 0), (3, 5)):
             text = " ".join([prose, (" " + "stone " * between).join([licenses.TEMPLATES[name]] * copies), prose])
             assert [f[1] for f in scanner.scan(text.encode()) if f[0] == name] == [1.0], (name, copies, between)
+
+
+def test_blocks_judge_each_row_alone(spark):
+    a, b = "the quick brown fox jumps over the lazy dog and runs", "deep dark wood behind the old mill and more words here"
+    texts = [f"one {a}", f"two {b}", "three", f"{a} {b}", a + "\n", f"four {b}", None, a + " \x0b\x1c", f"one {a}"]
+    docs = documents(spark, texts, [1, 1, 1, None, 2, None, None, 3, 1])
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    found = [sorted(map(str, decontaminate.find_contamination(docs, bench, key="doc_id", block_bytes=size).collect())) for size in (1 << 20, 10)]
+    assert found[0] == found[1] and len(found[1]) == len(texts)
+    left = [sorted(map(str, decontaminate.decontaminate(docs, bench, block_bytes=size).collect())) for size in (1 << 20, 10)]
+    assert left[0] == left[1] and len(left[1]) == 6
