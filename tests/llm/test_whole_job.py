@@ -78,3 +78,8 @@ def test_blocks_judge_each_row_alone(spark):
     assert found[0] == found[1] and len(found[1]) == len(texts)
     left = [sorted(map(str, decontaminate.decontaminate(docs, bench, block_bytes=size).collect())) for size in (1 << 20, 10)]
     assert left[0] == left[1] and len(left[1]) == 6
+
+
+def test_the_letter_f_is_no_form_feed(spark):
+    out = line_dedup.line_classes(documents(spark, ["f", "0f", "0", "auf", "au", "\fau"])).collect()
+    assert {r.doc_id for r in out} == set(range(6)) and {r.doc_id for r in out if r.kept} == {0, 1, 2, 3, 4}
