@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
@@ -59,23 +59,38 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def maybe_in(df: DataFrame, keys: DataFrame, key: str, max_bits: int = 1 << 26) -> DataFrame:
+def _bitmap(keys: DataFrame, key: str, max_bits: int) -> tuple[int, DataFrame]:
+    """Number of bits, 16 a key up to ``max_bits``, and rows ``__m, __bits`` of 64 of them, where any is set."""
+    bits = min(max_bits, max(1 << 15, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    place = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits).cast("long"))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("__m"))
+    return bits, words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
+
+
+def _there(df: DataFrame, keys: DataFrame, key: str, max_bits: int, how: str) -> tuple[DataFrame, Column]:
+    """df joined with the keys' bitmap, and whether a row's key may be in keys."""
+    bits, words = _bitmap(keys, key, max_bits)
+    own = df.withColumn("__p", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits).cast("long")))
+    joined = own.join(F.broadcast(words), F.shiftright("__p", 6) == F.col("__m"), how)
+    return joined, F.expr("getbit(__bits, cast(__p & 63 as int))") == 1
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str, max_bits: int = 1 << 24) -> DataFrame:
     """df without most of the rows whose key is not in keys, by a broadcast bitmap: cheap before the shuffle of a join.
 
-    The bitmap has 16 bits a key, up to ``max_bits`` (8 MB), so what is broadcast is bounded; with more keys it lets more
-    rows through, never fewer than it must.
+    The bitmap has 16 bits a key, up to ``max_bits`` (2**18 words of it), so what is broadcast is bounded; with more keys it
+    lets more rows through, never fewer than it must.
     """
-    n = max(1, keys.count())
-    bits = min(max_bits, max(1 << 15, 1 << (16 * n - 1).bit_length()))
-    place = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits).cast("long"))
-    maps = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("__m")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("__bits"))
-    own = df.withColumn("__p", place)
-    joined = own.join(F.broadcast(maps), F.floor(F.col("__p") / 32768) == F.col("__m"))
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast((__p % 32768) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    there = F.call_function("shiftright", byte, (F.col("__p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined, there = _there(df, keys, key, max_bits, "inner")
     return joined.where(there).select(*df.columns)
 
 
+def marked(df: DataFrame, keys: DataFrame, key: str, name: str, max_bits: int = 1 << 24) -> DataFrame:
+    """df with a column that is true for every row whose key is in keys, and for few others."""
+    joined, there = _there(df, keys, key, max_bits, "left")
+    return joined.select(*df.columns, F.coalesce(there, F.lit(False)).alias(name))
+
+
 def _state(edges: DataFrame) -> tuple:
     """Row count and an order-free digest of an edge list."""
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
