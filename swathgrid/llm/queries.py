@@ -58,7 +58,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, remember=1_200_000))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

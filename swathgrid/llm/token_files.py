@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, written
-from .encoding import encoder, release
+from .encoding import MEMO, encoder, release
 
 SEQUENCE = 1024
 #: Sequences in one record batch of a file.
@@ -63,20 +63,20 @@ class SequenceWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self._held) if self._held else np.empty(0, "<u4")
-        whole = len(ids) // self._length * self._length
+        size = self._length * BATCH
+        whole = len(ids) // size * size
+        for at in range(0, whole, size):
+            self._batch(ids[at : at + size], size)
         tail = ids[whole:]
-        for at in range(0, whole, self._length * BATCH):
-            self._batch(ids[at : min(whole, at + self._length * BATCH)], None)
-        if last and len(tail):
-            mask = np.arange(self._length) < len(tail)
-            self._batch(np.concatenate([tail, np.zeros(self._length - len(tail), "<u4")]), mask)
+        if last and len(tail):  # the only batch of another size, and the only padding
+            self._batch(np.concatenate([tail, np.zeros(-len(tail) % self._length, "<u4")]), len(tail))
+            tail = tail[:0]
         self._held, self._n = [tail], len(tail)
 
-    def _batch(self, ids: np.ndarray, mask: np.ndarray | None) -> None:
-        mask = np.ones(len(ids), bool) if mask is None else mask
+    def _batch(self, ids: np.ndarray, real: int) -> None:
         kind = self._schema.field(0).type.value_type
         as_list = lambda a: pa.FixedSizeListArray.from_arrays(a, self._length)
-        columns = [as_list(pa.array(ids.astype(kind.to_pandas_dtype()), kind)), as_list(pa.array(mask, pa.bool_()))]
+        columns = [as_list(pa.array(ids.astype(kind.to_pandas_dtype()), kind)), as_list(pa.array(np.arange(len(ids)) < real, pa.bool_()))]
         self._out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self._schema))
 
     def close(self) -> None:
@@ -85,30 +85,39 @@ class SequenceWriter:
 
 
 class SequenceReader:
-    """Random access to a sequence file: ``sequence(k)`` and ``ids(start, n)`` are views of the mapped buffers."""
+    """Random access to a sequence file: ``sequence(k)`` and ``ids(start, n)`` are views of the mapped buffers.
+
+    Opening reads the footer and the last batch; all batches before it hold as many sequences as the first.
+    """
 
     def __init__(self, source):
         self._file = pa.ipc.open_file(source)
         self.length = self._file.schema.field("input_ids").type.list_size
-        sizes = [self._file.get_batch(k).num_rows for k in range(self._file.num_record_batches)]
-        self._at = [0, *np.cumsum(sizes).tolist()]
-        self._held: tuple = (-1, None, None)
+        self._n = self._file.num_record_batches
+        self._held: dict[int, tuple[np.ndarray, pa.BooleanArray]] = {}
+        self._each = self._rows(0)
+        self._last = self._rows(self._n - 1)
+
+    def _rows(self, k: int) -> int:
+        return len(self._batch(k)[0]) // self.length if 0 <= k < self._n else 0
 
-    def _batch(self, k: int) -> tuple[np.ndarray, pa.Array]:
-        """Ids of batch k as a view of the file's buffer, and its mask."""
-        if self._held[0] != k:
+    def _batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of batch k as views of the file's buffers; one batch is held."""
+        if k not in self._held:
             batch = self._file.get_batch(k)
-            self._held = (k, batch.column(0).flatten().to_numpy(), batch.column(1).flatten())
-        return self._held[1:]
+            self._held = {k: (batch.column(0).flatten().to_numpy(), batch.column(1).flatten())}
+        return self._held[k]
 
     def __len__(self) -> int:
-        return self._at[-1]
+        return max(0, self._n - 1) * self._each + self._last
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        b = int(np.searchsorted(self._at, k, "right")) - 1
-        ids, mask = self._batch(b)
-        at = (k - self._at[b]) * self.length
-        return ids[at : at + self.length], mask.slice(at, self.length).to_numpy(zero_copy_only=False)
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Sequence k and its mask, both without a copy: the mask is Arrow's bit array."""
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        ids, mask = self._batch(k // self._each)
+        at = k % self._each * self.length
+        return ids[at : at + self.length], mask.slice(at, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Real ids [start, start + n) of the file."""
@@ -116,9 +125,8 @@ class SequenceReader:
         while n > 0:
             if start // self.length >= len(self):
                 raise ValueError("reading beyond a file's ids")
-            b = int(np.searchsorted(self._at, start // self.length, "right")) - 1
+            b, at = divmod(start, self._each * self.length)
             ids, mask = self._batch(b)
-            at = start - self._at[b] * self.length
             take = min(n, len(ids) - at)
             if not mask[at + take - 1].as_py():
                 raise ValueError("reading beyond a file's ids")
@@ -127,11 +135,12 @@ class SequenceReader:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, length: int = SEQUENCE) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, length: int = SEQUENCE, remember: int = MEMO) -> DataFrame:
     """Encode all documents and write them in ascending doc_id order; returns the manifest.
 
     Manifest: ``file, index, base`` (ids in all files before it), ``n_ids, n_docs``, one row per file. Null texts are
-    empty, nulls in doc_id stand first, rows that share a doc_id are ordered by text, an empty table writes no file. A
+    empty, nulls in doc_id stand first, rows that share a doc_id are ordered by their text's hash, then
+    text (so that a doc_id repeated in many rows is split too), an empty table writes no file. A
     task writes under a name of its own attempt, and only files in the manifest count, so retries leave no wrong data.
     """
     spark = docs.sparkSession
@@ -139,7 +148,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
     run_id = uuid.uuid4().hex[:8]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, remember)
         context = TaskContext.get()
         name = f"{run_id}-{context.partitionId():06d}-{context.taskAttemptId()}"
         writer, end, low, n_docs = None, np.array([end_id], "<u4"), None, 0
@@ -171,14 +180,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}.arrow"], "index": [f"{folder}/{name}.index.arrow"], "low": pa.array([low], pa.int64()), "part": pa.array([context.partitionId()], pa.int64()), "n_ids": [n], "n_docs": [n_docs]})
         release()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     parts = written(ordered.mapInArrow(write, "file string, index string, low long, part long, n_ids long, n_docs long"), "manifest")
-    rows = sorted(parts.collect(), key=lambda r: r.part)  # a row per file
-    base, out = 0, []
-    for r in rows:
-        out.append((r["file"], r["index"], base, r.n_ids, r.n_docs))
-        base += r.n_ids
-    return spark.createDataFrame(out, "file string, index string, base long, n_ids long, n_docs long")
+    base = F.expr("coalesce(sum(n_ids) over (order by part rows between unbounded preceding and 1 preceding), 0L)")  # a row per file
+    return parts.select("file", "index", base.alias("base"), "n_ids", "n_docs")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:

@@ -80,7 +80,6 @@ def test_the_whole_is_its_stages(spark, small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r.doc_id: np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4") for r in docs.collect()}
     assert total == {d: len(x) for d, x in ids.items()}
     for r in got.collect():
