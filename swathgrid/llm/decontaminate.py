@@ -1,21 +1,23 @@
 """Benchmark decontamination: broadcast hash set of normalised n-grams, windowed scan, removal of spans or documents.
 
-Words are the runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. The n-grams of one block of
-benchmark items, bounded in bytes, are collected and broadcast; a benchmark over the bound is scanned block by block and
-the blocks' hits are merged by document row, so no broadcast grows with its input.
+Words are the runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. The benchmark streams through the
+driver and is cut by its running bytes into blocks; a block's n-grams are broadcast, scanned for and released before the
+next is built, so neither the driver nor a broadcast grows with the benchmark. Hits depend on a text alone and are merged by
+128 bits of its hash, so the result is the same for every block size. After the first block only hits are written.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import again, written
+from .common import written
 
 WORDS_IN_WINDOW = 8
 #: Bytes of benchmark text in one broadcast block; its index takes some forty times that in a worker.
@@ -28,32 +30,57 @@ _NORMAL = bytes(0x20 if b in _SEPARATORS else b + 32 if 0x41 <= b <= 0x5A else b
 #: A character that Python's str.strip leaves, for the same definition of blank in SQL.
 _NOT_BLANK = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-_HITS = "key long, n_words long, spans array<struct<first:long,last:long,char_first:long,char_end:long>>, items array<string>"
+_HITS = "n_words long, spans array<struct<first:long,last:long,char_first:long,char_end:long>>, items array<string>"
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_NORMAL).split()
 
 
-def window_index(rows, n: int) -> tuple[dict[bytes, int], dict[int, dict[bytes, list[str]]]]:
-    """Vocabulary of all windows, and by window length the items of each window."""
-    vocabulary: dict[bytes, int] = {}
-    windows: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in rows:
-        if item is None or text is None:
-            continue
-        words = words_of(text.encode())
+class Index:
+    """Windows of a block of benchmark items: their vocabulary and, by length, the items of each window."""
+
+    def __init__(self):
+        self.vocabulary: set[bytes] = set()
+        self.windows: dict[int, dict[bytes, list[str]]] = {}
+        self.bytes = 0
+
+    def add(self, item: str, words: list[bytes], n: int) -> None:
         size = min(n, len(words))
-        for k in range(len(words) - size + 1) if size else ():
-            items = windows[size][b" ".join(words[k : k + size])]
-            if str(item) not in items:
-                items.append(str(item))
-        for w in words:
-            vocabulary.setdefault(w, len(vocabulary) + 1)
-    return vocabulary, {k: dict(v) for k, v in windows.items()}
+        own = self.windows.setdefault(size, {})
+        for k in range(len(words) - size + 1):
+            items = own.setdefault(b" ".join(words[k : k + size]), [])
+            if item not in items:
+                items.append(item)
+        self.vocabulary.update(words)
+        self.bytes += sum(map(len, words)) + len(words)
 
 
-def _hits(words: list[bytes], vocabulary: dict, windows: dict) -> tuple[list[tuple[int, int]], set[str]]:
+def blocks_of(rows: Iterator, n: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """Indexes of at most about ``block_bytes`` of text each; items over a quarter of that are indexed in pieces.
+
+    Pieces overlap by n - 1 words, so that each window lies whole in one. Rows with a null id or text, or without words, give
+    nothing.
+    """
+    block = Index()
+    for item, text in rows:
+        words = words_of(text.encode()) if item is not None and text is not None else []
+        at = 0
+        while words and (at == 0 or at + n - 1 < len(words)):
+            end, size = at, 0
+            while end < len(words) and (size <= block_bytes // 4 or end - at < 2 * n):
+                size += len(words[end]) + 1
+                end += 1
+            if block.bytes and block.bytes + size > block_bytes:
+                yield block
+                block = Index()
+            block.add(str(item), words[at:end], n)
+            at = end - n + 1 if end < len(words) else len(words)
+    if block.bytes:
+        yield block
+
+
+def _hits(words: list[bytes], vocabulary: set, windows: dict) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged spans of hit words (first, last) and the items whose windows occur."""
     if not words or not windows:
         return [], set()
@@ -91,73 +118,103 @@ def _places(text: str, spans: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b, "char_first": starts[a], "char_end": ends[b]} for a, b in spans]
 
 
+def _scan(rows: DataFrame, index: Index, hits_only: bool = False) -> tuple[DataFrame, Broadcast]:
+    """rows with ``n_words, spans, items`` instead of ``text``, and what was broadcast for it."""
+    held = rows.sparkSession.sparkContext.broadcast((index.vocabulary, index.windows))
+    at = rows.columns.index("text")
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    out = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(f, pa.int64()) for f in ("first", "last", "char_first", "char_end")]))), ("items", pa.list_(pa.string()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, windows = held.value
+        for batch in batches:
+            counts, all_spans, all_items = [], [], []
+            for raw in batch.column(at).cast(pa.large_binary()).to_pylist():
+                words = words_of(raw or b"")
+                spans, items = _hits(words, vocabulary, windows)
+                counts.append(len(words))
+                all_spans.append(_places(raw.decode(), spans) if spans else [])
+                all_items.append(sorted(items))
+            kept = [k for k in range(len(batch.schema)) if k != at]
+            found = pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *[pa.array(x, f.type) for x, f in zip((counts, all_spans, all_items), out)]], names=[*[batch.schema.names[k] for k in kept], *out.names])
+            yield found.filter(pa.array([bool(x) for x in all_items], pa.bool_())) if hits_only else found
+
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], _HITS])
+    return rows.mapInArrow(scan, kinds), held
+
+
+#: Spans in order, those that overlap or touch as one.
+_MERGED = """aggregate(s, cast(array() as array<struct<first:long,last:long,char_first:long,char_end:long>>), (a, x) ->
+  if(size(a) > 0 and x.first <= element_at(a, -1).last + 1,
+    concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last),
+      'char_first', element_at(a, -1).char_first, 'char_end', greatest(element_at(a, -1).char_end, x.char_end)))),
+    concat(a, array(x))))"""
+
+
+def _rows_of(benchmark: DataFrame) -> Iterator[tuple]:
+    return ((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
+
+
+def _with_hits(rows: DataFrame, blocks: Iterator[Index]) -> DataFrame:
+    """``rows`` (``text`` and others) with ``n_words, spans, items`` instead of the text, whatever the number of blocks."""
+    this, after = next(blocks, None) or Index(), next(blocks, None)
+    if after is None:
+        return _scan(rows, this)[0]
+    own = rows.columns
+    hashed = rows.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(1), "text")})
+    scanned, held = _scan(hashed, this)
+    first = written(scanned, "hits")
+    held.destroy()
+    found = []
+    while after is not None:
+        scanned, held = _scan(hashed.select("__h1", "__h2", "text"), after, hits_only=True)
+        # copies of a text have the same hits: one row for each text before the shuffle
+        once = scanned.groupBy("__h1", "__h2").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        found.append(written(once, "hits"))
+        held.destroy()
+        after = next(blocks, None)
+    more = found[0]
+    for x in found[1:]:
+        more = more.union(x)
+    more = more.groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))  # a row a block
+    nothing = F.array()
+    joined = first.join(more, ["__h1", "__h2"], "left")
+    joined = joined.withColumns({"s": F.array_sort(F.concat("spans", F.coalesce("s", nothing))), "items": F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", nothing))))})
+    return joined.select(*[c for c in own if c != "text"], "n_words", F.expr(_MERGED).alias("spans"), "items")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "key", n: int = WORDS_IN_WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: ``key, n_words, spans, items``.
+    """One row per document row: ``key, n_words, spans, items``.
 
-    ``docs`` needs a long ``key`` column; other columns do not travel. ``spans`` are the merged runs of hit words (by
-    word and by character), ``items`` the sorted ids of benchmark items with an occurring window. A null or empty text
-    has no words; benchmark rows with a null id or text, or no words, give no window; an empty benchmark hits nothing.
-    Ties and repeated rows: each document row is judged alone, repeated item ids count once.
+    ``docs`` needs a long ``key`` column, which may repeat or be null; other columns do not travel. ``spans`` are the merged
+    runs of hit words (by word and by character), ``items`` the sorted ids of benchmark items with an occurring window. A null
+    or empty text has no words; benchmark rows with a null id or text, or no words, give no window; an empty benchmark hits
+    nothing. Ties and repeated rows: each document row is judged alone, repeated item ids count once.
     """
-    spark = docs.sparkSession
-    sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.max(F.octet_length("text")).alias("m")).first()
-    blocks = max(1, -(-sizes.b // block_bytes))
-    scanned = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    if blocks > 1:  # rows are numbered once, as keys may repeat or be null
-        numbered = written(scanned.select(F.col("key").alias("own"), F.monotonically_increasing_id().alias("key"), "text"), "rows")
-        scanned = numbered.select("key", "text")
-    parts = []
-    for k in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        held = spark.sparkContext.broadcast(window_index(((r.item_id, r.text) for r in own.select("item_id", "text").toLocalIterator()), n))
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            vocabulary, windows = held.value
-            schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(f, pa.int64()) for f in ("first", "last", "char_first", "char_end")]))), ("items", pa.list_(pa.string()))])
-            for batch in batches:
-                counts, all_spans, all_items = [], [], []
-                for raw in batch.column(1).cast(pa.large_binary()).to_pylist():
-                    words = words_of(raw or b"")
-                    spans, items = _hits(words, vocabulary, windows)
-                    counts.append(len(words))
-                    all_spans.append(_places(raw.decode(), spans) if spans else [])
-                    all_items.append(sorted(items))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(all_spans, schema.field(2).type), pa.array(all_items, schema.field(3).type)], schema=schema)
-
-        parts.append(scanned.mapInArrow(scan, _HITS))
-    if blocks == 1:
-        return parts[0]
-    found = written(parts[0], "hits")
-    for p in parts[1:]:  # merge the blocks' hits: spans that overlap or touch become one
-        found = found.union(p)
-    grouped = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.expr(
-        "aggregate(s, cast(array() as array<struct<first:long,last:long,char_first:long,char_end:long>>), (a, x) -> "
-        "if(size(a) > 0 and x.first <= element_at(a, -1).last + 1, concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, "
-        "'last', greatest(element_at(a, -1).last, x.last), 'char_first', element_at(a, -1).char_first, 'char_end', greatest(element_at(a, -1).char_end, x.char_end)))), concat(a, array(x))))"
-    )
-    hits = grouped.select(F.col("key").alias("n"), "n_words", merged.alias("spans"), "items")
-    return hits.join(again(numbered).select("own", "key"), F.col("n") == F.col("key")).select(F.col("own").alias("key"), "n_words", "spans", "items")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return _with_hits(rows, blocks_of(_rows_of(benchmark), n, block_bytes))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS_IN_WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without documents that hold windows of ``min_items`` items or more; hit spans are cut from the others.
 
     The columns of docs are kept as they are. Documents without a hit come back unchanged, nulls and empty texts too; one
-    of which nothing but white space is left after the cut goes.
+    of which nothing but white space (as ``str.strip`` has it) is left after the cut goes.
     """
     schema = docs.schema
-    spark = docs.sparkSession
-    sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    if sizes.b > block_bytes:
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"))
-        packed = written(packed, "rows").select("row", "key", F.col("row.text").alias("text"))
-        found = find_contamination(packed, benchmark, n=n, block_bytes=block_bytes).where(F.size("items") > 0)
-        joined = packed.join(found, "key", "left").where(F.coalesce(F.size("items"), F.lit(0)) < min_items)
+    blocks = blocks_of(_rows_of(benchmark), n, block_bytes)
+    this, after = next(blocks, None) or Index(), next(blocks, None)
+    if after is not None:
+        texts = docs.where("text is not null").select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+        found = _with_hits(texts, chain([this, after], blocks)).where(F.size("items") > 0)
+        found = written(found.groupBy("h1", "h2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "found")
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+        packed = packed.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+        joined = packed.join(found, ["h1", "h2"], "left").where(F.coalesce(F.size("items"), F.lit(0)) < min_items)
         cut = F.expr("aggregate(spans, named_struct('at', 0L, 'out', ''), (a, x) -> named_struct('at', x.char_end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.char_first - a.at as int)))), a -> concat(a.out, substring(text, cast(a.at + 1 as int))))")
         left = joined.withColumn("left", F.when(F.col("items").isNotNull(), cut).otherwise(F.col("text"))).where(F.col("items").isNull() | F.col("left").rlike(_NOT_BLANK))
         return left.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
-    held = spark.sparkContext.broadcast(window_index(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), n))
+    held = docs.sparkSession.sparkContext.broadcast((this.vocabulary, this.windows))
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
