@@ -4,8 +4,8 @@ Words unique to both text and template are anchors; the longest increasing subse
 gaps between anchors are aligned in the same way. A gap without unique words is aligned by the longest common subsequence,
 whatever its size: its sides are bounded by a run and the template. Coverage is the share of the template's words so aligned.
 
-Whole texts are scanned: runs of words near template words are found first, and one is aligned only if the words it shares
-with the template (as bags) could reach the threshold, a bound that loses nothing.
+Whole texts are scanned: runs of words near template words are found first, and one is aligned, whole, only if the words it
+shares with the template (as bags) could reach the threshold, a bound that loses nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .decontaminate import words_of
 
 THRESHOLD = 0.8
+#: A notice's aligned words stand within so many times its length.
+SPREAD = 6
 
 # Notices as their licences give them.
 TEMPLATES: dict[str, str] = {
@@ -32,6 +34,15 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 
@@ -57,19 +68,26 @@ def increasing(seq: list[int]) -> list[int]:
 
 
 def _common(a: list, b: list, a0: int, b0: int) -> list[tuple[int, int]]:
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((a0 + i, b0 + j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+    """A longest common subsequence by bit rows (a number of len(b) bits for each word of a)."""
+    place: dict = {}
+    for j, w in enumerate(b):
+        place[w] = place.get(w, 0) | 1 << j
+    row = every = (1 << len(b)) - 1
+    rows = [row]
+    for w in a:
+        u = row & place.get(w, 0)
+        row = ((row + u) | (row - u)) & every
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        bit = 1 << j - 1
+        if rows[i] & bit:  # word j of b adds nothing here
+            j -= 1
+        elif not rows[i - 1] & bit:  # nor does word i of a
+            i -= 1
         else:
-            j += 1
+            i, j = i - 1, j - 1
+            out.append((a0 + i, b0 + j))
     return out
 
 
@@ -131,32 +149,46 @@ class Scanner:
                 continue
             best = None
             for low, high in self._runs(places, len(template)):
-                own = Counter(words[low:high])
-                if sum(min(n, own[w]) for w, n in bag.items()) < need:
-                    continue
-                pairs = align(words[low:high], template)
-                coverage = len(pairs) / len(template)
-                if coverage >= self.threshold and (best is None or coverage > best[1]):
-                    best = (name, coverage, low + pairs[0][0], low + pairs[-1][0])
+                for found in self._aligned(words, low, high, template, bag, need):
+                    if best is None or len(found) > len(best):
+                        best = found
             if best:
-                out.append(best)
+                out.append((name, len(best) / len(template), best[0][0], best[-1][0]))
         return out
 
+    def _aligned(self, words: list, low: int, high: int, template: list, bag: Counter, need: float) -> Iterator[list]:
+        """Alignments in words [low, high) that reach the threshold within ``SPREAD`` times the template's length.
+
+        Windows of twice that length overlap by half. Where an alignment reaches further, narrower windows are aligned.
+        """
+        limit = SPREAD * len(template)
+        for at in range(low, max(low + 1, high - limit), limit):
+            end = min(high, at + 2 * limit)
+            if not self._shares(words[at:end], bag, need):
+                continue
+            for a, b in [(at, end), *((k, min(end, k + limit)) for k in range(at, end, len(template)))]:
+                if not self._shares(words[a:b], bag, need):
+                    continue
+                pairs = align(words[a:b], template)
+                if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < limit:
+                    yield [(a + i, j) for i, j in pairs]
+                    break
+                if len(pairs) < need and a == at and b == end:
+                    break
+
+    @staticmethod
+    def _shares(words: list, bag: Counter, need: float) -> bool:
+        own = Counter(words)
+        return sum(min(n, own[w]) for w, n in bag.items()) >= need
+
     @staticmethod
     def _runs(places: list[int], n: int) -> Iterator[tuple[int, int]]:
-        """Stretches with template words no further apart than the template is long; long ones as overlapping windows."""
+        """Stretches with template words no further apart than the template is long, however long they are."""
         start = 0
         for i in range(1, len(places) + 1):
-            if i < len(places) and places[i] - places[i - 1] <= n:
-                continue
-            low, high = places[start], places[i - 1] + 1
-            if high - low <= 4 * n:
-                yield low, high
-            else:
-                step = at = n
-                for at in range(low, high, step):
-                    yield at, min(high, at + 2 * n)
-            start = i
+            if i == len(places) or places[i] - places[i - 1] > n:
+                yield places[start], places[i - 1] + 1
+                start = i
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
