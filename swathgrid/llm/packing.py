@@ -21,14 +21,23 @@ from .encoding import MEMO, encoder, release
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence may hold; each limit is 1 at least."""
+
     tokens: int = 1024
     segments: int = 128
     loss_tokens: int = 1024
-    #: Pieces may be cut to fill a sequence, and a last sequence falls apart into lengths that are powers of two.
+    #: Pieces may be cut to fill a sequence, and a last sequence falls apart into lengths that are powers of two. Without,
+    #: only a document that breaks a limit alone is cut, into pieces as long as the limits allow.
     cut: bool = True
+    #: Leading tokens of a document that bear no loss, as nothing much stands before them.
+    context: int = 0
     #: Pieces that wait at once in a task.
     pool: int = 1024
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss_tokens, self.pool) < 1 or self.context < 0:
+            raise ValueError(f"limits must be positive: {self}")
+
 
 @dataclass
 class Piece:
@@ -86,16 +95,16 @@ class Packer:
     def add(self, doc_id, ids: np.ndarray, prompt: int = 0) -> None:
         number = self._next
         self._next += 1
-        self.docs[number] = (doc_id, ids, prompt)
+        self.docs[number] = (doc_id, ids, max(prompt, min(self.limits.context, len(ids))))
         self.waiting[number] = 0
         start, lim = 0, self.limits
         while (rest := len(ids) - start) > 0:  # longer than a sequence: fill whole ones first
             take = min(rest, self._longest(number, start, lim.tokens, lim.loss_tokens))
             self.waiting[number] += 1
             p = Piece(number, start, take)
-            if take < rest:
+            if take < rest and (take == lim.tokens or not lim.cut):
                 self._place([p])
-            else:
+            else:  # what fills a sequence up may come from other documents
                 self._push(p)
             start += take
         while self.pooled > lim.pool:
@@ -128,8 +137,12 @@ class Packer:
                 continue
             if not self.limits.cut:
                 break
-            k = int(np.argmax((self._need / self._scale) @ (left / self._scale)))
+            # no piece fits whole: the one with the longest head that fits (a piece's lossless tokens stand in front)
+            head = np.minimum(np.minimum(self._need[:, 0], left[0]), self._need[:, 0] - self._need[:, 2] + left[2])
+            k = int(np.argmax(np.where(self._need[:, 1] > 0, head, 0)))
             p = self._pieces[k]
+            if p is None:
+                break
             take = self._longest(p.doc, p.start, int(left[0]), int(left[2]))
             if take <= 0:
                 break

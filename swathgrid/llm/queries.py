@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import Limits
+
+#: The first tokens of a document bear no loss, and a sequence has room for loss on all but a few: all three limits bind.
+PACKING = Limits(tokens=1024, segments=16, loss_tokens=1008, context=32)
 
 
 def vocabulary(name: str) -> str:
@@ -89,7 +93,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    found = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, remember=1_200_000)
+    found = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, limits=PACKING, remember=1_200_000)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -177,6 +177,12 @@ def test_op10(spark, medium):
     assert all(gapless(p) for p in by_seq.values()) and max(sizes) <= 1024
     padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in sizes)
     assert padding <= 0.002 * sum(sizes)
+    # the limits on segments and on loss hold, and decide in some sequences
+    loss = defaultdict(int)
+    for r in got:
+        loss[r["sequence_id"]] += r["length"] - max(0, min(32, r["doc_tokens"]) - r["start"]) if r["start"] < 32 else r["length"]
+    assert max(len(p) for p in by_seq.values()) <= 16 and max(loss.values()) <= 1008
+    assert sum(n == 1008 for n in loss.values()) > 0.1 * len(loss)
 
 
 def shingles(text):

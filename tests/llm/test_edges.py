@@ -131,6 +131,29 @@ def test_pack(spark, odd, none):
         assert sum(r.length for r in s) <= 256 and len(s) <= 2 and sum(r.loss_tokens for r in s) <= 64
 
 
+def test_packer_without_cuts_and_with_odd_limits():
+    def placed(lengths, **limits):
+        p = packing.Packer(packing.Limits(**limits))
+        for k, n in enumerate(lengths):
+            p.add(k, np.zeros(n, "<u4"))
+        p.finish()
+        return [(r[0], r[1], r[2], r[6]) for r in p.take()]
+
+    assert sorted(r[:3] for r in placed([20], tokens=8, cut=False)) == [(0, 0, 8), (0, 8, 8), (0, 16, 4)]
+    whole = placed([5, 3, 8, 1, 7, 2], tokens=8, cut=False)
+    assert sorted(r[2] for r in whole) == [1, 2, 3, 5, 7, 8]  # nothing that fits is cut
+    for limits in ({"loss_tokens": 1}, {"segments": 1}, {"loss_tokens": 3, "context": 2}, {"pool": 1}):
+        rows = placed([5, 3, 8, 1, 0, 20], tokens=8, **limits)
+        assert sum(r[2] for r in rows) == 37
+        by = {}
+        for r in rows:
+            by.setdefault(r[3], []).append(r)
+        assert all(sum(r[2] for r in s) <= 8 and len(s) <= limits.get("segments", 128) for s in by.values())
+    for bad in ({"tokens": 0}, {"segments": 0}, {"loss_tokens": 0}, {"context": -1}):
+        with pytest.raises(ValueError):
+            packing.Limits(**bad)
+
+
 def test_token_files(spark, odd, none, tmp_path):
     path = vocabulary("word_bpe_49k.json")
     manifest = token_files.write_tokens(odd, path, f"file://{tmp_path}/t", length=64)
