@@ -13,7 +13,7 @@ from swathgrid.llm.common import table, written
 from swathgrid.llm.decontaminate import decontaminate
 from swathgrid.llm.line_dedup import dedup_lines
 from swathgrid.llm.packing import pack
-from swathgrid.llm.queries import vocabulary
+from swathgrid.llm.queries import PACKING, vocabulary
 from swathgrid.llm.simhash import one_of_each
 from swathgrid.llm.toxicity import THRESHOLD, labelled, score, train
 
@@ -37,7 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, limits=PACKING).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [
