@@ -2,9 +2,9 @@
 
 Codebooks for the two halves of the unit vectors are fitted apart; their product is a grid of cells, and each vector is
 indexed in the cell of its nearest centroids. A query visits cells in ascending order of the least squared distance that a
-vector in them can have from it (sum over halves of the squared distance to the bisecting plane) until that exceeds the
-radius of the cosine threshold: the target recall is 1 and no cap is needed. Visits are verified by the cosine itself, in
-blocks of bounded size; a block gives link counts and a spanning forest of its links, never its pairs.
+vector in them can have from it (sum over halves of the squared distance to the bisecting plane) until that exceeds a share,
+``REACH``, of the radius of the cosine threshold: at 1 no link can be missed, and no cap is needed. Visits are verified by
+the cosine itself, in blocks of bounded size; a block gives link counts and a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -21,9 +21,14 @@ from .simhash import forest
 
 THRESHOLD = 0.98
 #: Vectors that the codebooks are fitted on at most (those with the least hash of their id).
-SAMPLE = 4096
-#: Distinct vectors per cell that the codebooks' size aims at.
-PER_CELL = 200
+SAMPLE = 16384
+#: Distinct vectors of the largest label per cell that the codebooks' size aims at, and centroids of a half at most.
+PER_CELL, CENTROIDS = 200, 1024
+#: Planes of so many nearest centroids bound a distance.
+PLANES = 24
+#: Only a difference that points straight at a plane needs the whole radius; spread over 32 dimensions one reaches a fifth
+#: of it. Links of the check tool's tables need 0.15 at most.
+REACH = 0.5
 #: Members and visitors compared in one block.
 MEMBERS, VISITORS = 2048, 4096
 
@@ -49,11 +54,13 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarr
 
 def bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid of each row and, per centroid, the least squared distance to any point of its cell."""
-    d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0)
-    apart = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(2), 1e-30))
+    sizes = (c * c).sum(1)
+    d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + sizes[None, :], 0)
+    apart = np.sqrt(np.maximum(sizes[:, None] - 2 * c @ c.T + sizes[None, :], 1e-30))
     low = np.zeros_like(d)
-    for k in range(len(c)):  # beyond the plane between k and i lies all of cell i
-        low = np.maximum(low, (d - d[:, k : k + 1]) / (2 * apart[k][None, :]))
+    rows = np.arange(len(x))
+    for k in np.argsort(d, axis=1, kind="stable")[:, :PLANES].T:  # beyond the plane between k and i lies all of cell i
+        low = np.maximum(low, (d - d[rows, k][:, None]) / (2 * apart[k]))
     return d.argmin(1), low * low
 
 
@@ -78,7 +85,7 @@ def visits(low1: np.ndarray, low2: np.ndarray, radius2: float) -> list[tuple[int
 
 def fit(sample: list, n: int, per_cell: int = PER_CELL) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Codebooks by dimension; the grid has about n / per_cell cells."""
-    k = int(np.clip(round(np.sqrt(max(1, n) / per_cell)), 1, 256))
+    k = int(np.clip(round(np.sqrt(max(1, n) / per_cell)), 1, CENTROIDS))
     books = {}
     for dim in {len(v) for v in sample}:
         x = unit([v for v in sample if len(v) == dim])
@@ -91,21 +98,22 @@ def _usable(v: str) -> str:
     return f"{v} is not null and size({v}) > 0 and forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({v}, x -> x <> 0)"
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, per_cell: int = PER_CELL, reach: float = 1.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, per_cell: int = PER_CELL, reach: float = REACH) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector of ``vec_id, embedding, label``.
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least the threshold.
     Null or zero vectors, those with null or non-finite components, and rows with a null label link with nothing; vectors
     of different length do not link. Equal vectors are indexed once, with their number. An empty table gives no rows.
-    ``reach`` below 1 ends a query's traversal at that share of the exact radius: fewer visits, a recall below 1.
+    A row with a null vec_id links with nothing, has no component and is not kept; rows that share a vec_id but not the
+    vector are one node. Other columns play no part. ``reach`` 1 visits every cell that can hold a link; less, fewer.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    good = F.expr(f"label is not null and {_usable('embedding')}")
-    distinct = written(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"), "vectors")
-    n = distinct.count()
+    good = F.expr(f"vec_id is not null and label is not null and {_usable('embedding')}")
+    distinct = written(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    n = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     taken = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded by the limit
-    books = spark.sparkContext.broadcast(fit([r.embedding for r in taken], n, per_cell))  # at most 2 x 256 centroids by dimension
+    books = spark.sparkContext.broadcast(fit([r.embedding for r in taken], n, per_cell))  # at most 2 x CENTROIDS by dimension
     radius2 = (2 - 2 * threshold) * reach**2 + 1e-9
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,4 +167,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     known = known.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.where(good).join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     out = out.union(rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

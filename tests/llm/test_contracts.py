@@ -65,6 +65,33 @@ def test_op2(spark, small, tmp_path):
     assert len({c for _, c, _ in want.values()}) < len(rows) - 40
 
 
+def test_op2_null_and_repeated_ids_and_clashing_columns(spark):
+    from swathgrid.llm.vectors import near_vectors
+
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1, 0), (2, v, 1, 0), (None, v, 1, 0), (None, [9.0, 1.0, 1.0], 1, 0), (3, [3.0, -2.0, 1.0], 1, 0), (3, v, 1, 0)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept int").selectExpr("*", "1 as rep", "'x' as cell", "2 as n_links")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(docs).collect()), key=str)
+    assert sorted(x for x in got if x[0] is None) == [(None, 0, None, False)] * 2
+    assert [x[2:] for x in got if x[0] in (1, 2)] == [(1, True), (1, False)] and len(got) == 6
+    assert near_vectors(docs.limit(0)).count() == 0
+
+
+def test_op2_recall_of_links_in_large_cells():
+    """Of random links at the threshold every one is visited."""
+    from swathgrid.llm.vectors import REACH, bounds, codebook, unit, visits
+
+    rng = np.random.default_rng(2)
+    x = unit(rng.normal(0, 1, (6000, 64)))
+    y = x + rng.normal(0, 1, x.shape) * 0.199 / 8
+    y = unit(y)
+    c = codebook(x[:, :32], 12), codebook(x[:, 32:], 12)
+    (_, l1), (_, l2) = bounds(x[:, :32], c[0]), bounds(x[:, 32:], c[1])
+    (h1, _), (h2, _) = bounds(y[:, :32], c[0]), bounds(y[:, 32:], c[1])
+    found = [(int(i), int(j)) in visits(a, b, 0.04 * REACH**2 + 1e-9) for a, b, i, j in zip(l1[:1500], l2[:1500], h1, h2)]
+    assert np.mean(found) > 0.999
+
+
 def test_op5(spark, medium):
     by = defaultdict(list)
     for r in load(medium, "conversations"):
