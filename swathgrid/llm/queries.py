@@ -40,9 +40,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with the value's digest instead of the value."""
-    from .secrets import scan_secrets
+    from .secrets import DICTIONARY, dictionary_of, scan_secrets
 
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    words = {*DICTIONARY, *dictionary_of(vocabulary("byte_bpe_50k.json"))}
+    found = scan_secrets(table(spark, sf_dir, "documents"), dictionary=words)
     return found.select("doc_id", "line_no", "kind", F.sha2("value", 256).alias("value_sha256"), "n", "score", "kept")
 
 
