@@ -63,6 +63,35 @@ def bounds(ring: str | Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def is_box(ring: str | Column, b: str | Column) -> Column:
+    """Is the ring an axis-aligned box, its bounds b? Four corners of the bounds, each once."""
+    r, b = _col(ring), _col(b)
+    corners = F.transform(r, lambda p: F.when((p["x"] == b["x0"]) & (p["y"] == b["y0"]), 1).when((p["x"] == b["x1"]) & (p["y"] == b["y0"]), 2).when((p["x"] == b["x1"]) & (p["y"] == b["y1"]), 3).when((p["x"] == b["x0"]) & (p["y"] == b["y1"]), 4).otherwise(0))
+    way = F.array_join(corners.cast("array<string>"), "")
+    return F.coalesce((b["x0"] < b["x1"]) & (b["y0"] < b["y1"]) & F.size(r).isin(4, 5) & F.lit("12341234 43214321").contains(way), F.lit(False))
+
+
+def _edges(ring: Column) -> Column:
+    i = F.sequence(F.lit(0), F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.transform(i, lambda k: F.struct(F.get(ring, k).alias("p"), _next(ring, k).alias("q")))
+
+
+def _to_edge(p: Column, e: Column) -> Column:
+    """Squared distance of a point to an edge."""
+    dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+    along = (p["x"] - e["p"]["x"]) * dx + (p["y"] - e["p"]["y"]) * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(along, dx * dx + dy * dy), F.lit(0.0))))
+    return F.pow(e["p"]["x"] + t * dx - p["x"], 2) + F.pow(e["p"]["y"] + t * dy - p["y"], 2)
+
+
+def distance(a: str | Column, b: str | Column) -> Column:
+    """Distance of two polygons: 0 where they meet or one holds the other (b convex), else that of their boundaries."""
+    ra, rb = _col(a), _col(b)
+    least = lambda points, edges: F.array_min(F.flatten(F.transform(points, lambda p: F.transform(edges, lambda e: _to_edge(p, e)))))
+    apart = F.least(least(ra, _edges(rb)), least(rb, _edges(ra)))
+    return F.when(touches(ra, rb), 0.0).otherwise(F.sqrt(apart))
+
+
 def contains(ring: str | Column, x: Column, y: Column) -> Column:
     """Is the point in the ring or on its boundary? Ray casting, and a test of each edge."""
     r = _col(ring)

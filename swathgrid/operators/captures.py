@@ -37,17 +37,21 @@ def daily_satellites(samples: DataFrame, ids: DataFrame, start_year: int, end_ye
     return rows.groupBy("grid_id", F.year("acquired").alias("year"), day("solar_time").alias("solar_day")).agg(F.count_distinct("satellite_id").alias("satellites"))
 
 
-def multi_capture_summary(daily: DataFrame, eligible: int, start_year: int, end_year: int) -> DataFrame:
-    """One row per year of the calendar spine and one "overall" row, with shares in percent (null on an empty base)."""
+def multi_capture_summary(daily: DataFrame, ids: DataFrame, start_year: int, end_year: int) -> DataFrame:
+    """One row per year of the calendar spine and one "overall" row, with shares in percent (null on an empty base).
+
+    ids: the eligible cells, counted within the plan.
+    """
     spark = daily.sparkSession
     spine = spark.range(start_year, end_year).select(F.col("id").cast("int").alias("year"))
     days = F.datediff(F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)), F.make_date(F.col("year"), F.lit(1), F.lit(1)))
     counts = daily.groupBy("year").agg(F.count("*").alias("captured"), F.count_if(F.col("satellites") > 1).alias("multi"))
     full = spine.join(counts, "year", "left").select("year", F.coalesce("captured", F.lit(0)).alias("captured"), F.coalesce("multi", F.lit(0)).alias("multi"), days.alias("days"))
     rolled = full.rollup("year").agg(F.sum("captured").alias("captured_grid_days"), F.sum("multi").alias("multi_capture_grid_days"), F.sum("days").alias("calendar_days"), F.grouping("year").alias("__all"))
-    every = F.col("calendar_days") * eligible
-    return rolled.select(
-        F.when(F.col("__all") == 1, "overall").otherwise(F.col("year").cast("string")).alias("year"), "captured_grid_days", "multi_capture_grid_days", F.lit(eligible).cast("long").alias("eligible_grids"), "calendar_days", every.alias("all_eligible_grid_days"),
+    every = F.col("calendar_days") * F.col("eligible")
+    counted = rolled.join(F.broadcast(ids.agg(F.count("*").alias("eligible"))))  # one row
+    return counted.select(
+        F.when(F.col("__all") == 1, "overall").otherwise(F.col("year").cast("string")).alias("year"), "captured_grid_days", "multi_capture_grid_days", F.col("eligible").alias("eligible_grids"), "calendar_days", every.alias("all_eligible_grid_days"),
         (100 * F.try_divide("multi_capture_grid_days", "captured_grid_days")).alias("multi_capture_pct_of_captured"), (100 * F.try_divide(F.col("multi_capture_grid_days"), every)).alias("multi_capture_pct_of_all_eligible"),
     )
 

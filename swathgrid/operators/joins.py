@@ -64,37 +64,61 @@ def dim_left(dim: DataFrame, facts: DataFrame, key: str, fill: dict[str, float]
     return out.fillna(fill) if fill else out
 
 
+#: Tiles that one ring may meet: more means that ``size`` is in another unit than the rings.
+MOST_TILES = 10_000
+
+
 def tiles(ring: str | Column, size: float) -> Column:
-    """Keys of the tiles that a ring's bounding box meets."""
+    """Keys of the tiles that a ring's bounding box meets; an error where they are more than ``MOST_TILES``."""
     box = G.bounds(ring)
-    cells = lambda low, high: F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
-    return F.flatten(F.transform(cells(box["x0"], box["x1"]), lambda x: F.transform(cells(box["y0"], box["y1"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    tile = lambda c: F.floor(box[c] / size).cast("long")
+    n = (tile("x1") - tile("x0") + 1) * (tile("y1") - tile("y0") + 1)
+    cells = lambda low, high: F.sequence(tile(low), tile(high))
+    keys = F.flatten(F.transform(cells("x0", "x1"), lambda x: F.transform(cells("y0", "y1"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return F.when(n > MOST_TILES, F.raise_error(F.lit(f"a ring meets over {MOST_TILES} tiles of size {size}: choose a size near that of the cells"))).otherwise(keys)
 
 
-def _tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str, right_ring: str, size: float) -> DataFrame:
-    """Candidate pairs, each once: only the tile that holds the lower corner of the boxes' overlap reports it."""
-    a = left.select(left_key, F.col(left_ring).alias("ra"), F.explode(tiles(left_ring, size)).alias("tile"))
-    b = right.select(right_key, F.col(right_ring).alias("rb"), F.explode(tiles(right_ring, size)).alias("tile"))
-    joined = a.join(b, "tile").withColumn("ba", G.bounds("ra")).withColumn("bb", G.bounds("rb"))
+def _tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str, right_ring: str, size: float, left_with: dict[str, Column] | None = None, right_with: dict[str, Column] | None = None) -> DataFrame:
+    """Candidate pairs, each once, with ``ra, rb, ba, bb`` (rings and bounds) and the columns asked for: only the tile that
+    holds the lower corner of the boxes' overlap reports a pair.
+
+    A ring that is an axis-aligned box travels as its bounds alone (its ring is null).
+    """
+
+    def side(df: DataFrame, key: str, ring: str, r: str, b: str, more: dict[str, Column] | None) -> DataFrame:
+        own = df.select(key, *[c.alias(n) for n, c in (more or {}).items()], F.col(ring).alias(r), G.bounds(ring).alias(b))
+        return own.withColumn("tile", F.explode(tiles(r, size))).withColumn(r, F.when(~G.is_box(r, b), F.col(r)))
+
+    joined = side(left, left_key, left_ring, "ra", "ba", left_with).join(side(right, right_key, right_ring, "rb", "bb", right_with), "tile")
     x, y = F.greatest("ba.x0", "bb.x0"), F.greatest("ba.y0", "bb.y0")
     meets = (x <= F.least("ba.x1", "bb.x1")) & (y <= F.least("ba.y1", "bb.y1"))
     own = (F.floor(x / size) == F.col("tile.x")) & (F.floor(y / size) == F.col("tile.y"))
-    return joined.where(meets & own).drop("tile", "ba", "bb")
+    return joined.where(meets & own).drop("tile")
+
 
+def _ring_of(r: str, b: str) -> Column:
+    return F.coalesce(F.col(r), G.box(F.col(f"{b}.x0"), F.col(f"{b}.y0"), F.col(f"{b}.x1"), F.col(f"{b}.y1")))
 
-def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str = "ring", right_ring: str = "ring", size: float = 1.0) -> DataFrame:
-    """``left_key, right_key, overlap`` (the intersection's ring) ``, overlap_area`` of pairs that share area.
 
-    The right rings must be convex, as grid cells are; clipping runs in Arrow batches over candidates only.
+def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str = "ring", right_ring: str = "ring", size: float = 1.0, left_with: dict[str, Column] | None = None, right_with: dict[str, Column] | None = None) -> DataFrame:
+    """``left_key, right_key, overlap`` (the intersection's ring) ``, overlap_area`` of pairs that share area, and the columns
+    ``left_with`` and ``right_with`` of either side, computed before rows are dealt to tiles.
+
+    The right rings must be convex, as grid cells are. Two boxes are cut by expressions; other pairs in Arrow batches.
     """
-    pairs = _tile_pairs(left, right, left_key, right_key, left_ring, right_ring, size)
-    cut = pairs.select(left_key, right_key, G.clip("ra", "rb").alias("overlap"))
-    return cut.withColumn("overlap_area", G.area("overlap")).where("overlap_area > 0")
+    pairs = _tile_pairs(left, right, left_key, right_key, left_ring, right_ring, size, left_with, right_with)
+    boxes = F.col("ra").isNull() & F.col("rb").isNull()
+    cut = pairs.withColumn("__cut", G.clip(F.when(~boxes, _ring_of("ra", "ba")), F.when(~boxes, _ring_of("rb", "bb"))))
+    shared = G.box(F.greatest("ba.x0", "bb.x0"), F.greatest("ba.y0", "bb.y0"), F.least("ba.x1", "bb.x1"), F.least("ba.y1", "bb.y1"))
+    names = [left_key, right_key, *(left_with or {}), *(right_with or {})]
+    return cut.select(*names, F.when(boxes, shared).otherwise(F.col("__cut")).alias("overlap")).withColumn("overlap_area", G.area("overlap")).where("overlap_area > 0")
 
 
 def intersects(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str = "ring", right_ring: str = "ring", size: float = 1.0, keep_left: bool = False) -> DataFrame:
     """Key pairs of rings that touch or overlap (right ones convex); keep_left adds unmatched left keys with null."""
-    pairs = _tile_pairs(left, right, left_key, right_key, left_ring, right_ring, size).where(G.touches("ra", "rb")).select(left_key, right_key)
+    found = _tile_pairs(left, right, left_key, right_key, left_ring, right_ring, size)  # of two boxes the bounds meet
+    boxes = F.col("ra").isNull() & F.col("rb").isNull()
+    pairs = found.where(boxes | G.touches(F.when(~boxes, _ring_of("ra", "ba")), F.when(~boxes, _ring_of("rb", "bb")))).select(left_key, right_key)
     return left.select(left_key).join(pairs, left_key, "left") if keep_left else pairs
 
 
@@ -121,6 +145,49 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, li
     return near.join(best.select(left_key, F.col("b.dist").alias("__d")), left_key).where(F.col("dist") == F.col("__d")).drop("__d")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df evaluated once: in the session's checkpoint folder, which executors share, or held where it names none."""
+    named = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if named else df.persist()
+
+
+def nearest_area(left: DataFrame, right: DataFrame, left_key: str, right_key: str, start: float, limit: float | None = None, ties: bool = False) -> DataFrame:
+    """``left_key, right_key, dist``: the right polygon nearest to each left one by their boundaries (0 where they meet), to
+    nine digits; right ones are convex.
+
+    Without a limit every left row finds one, unless right is empty. Tiles are searched in rounds, each over the rows still
+    without a neighbour and four times as wide as the last, from ``start``; ties: the lowest id, or all.
+    """
+    out, rest, reach = None, left.select(left_key, F.col("ring").alias("ra")), float(start)
+    b = right.select(right_key, F.col("ring").alias("rb"))
+    box = G.bounds("ring")
+    both = right.select(box.alias("b")).union(left.select(box.alias("b")))
+    span = both.agg((F.max("b.x1") - F.min("b.x0") + F.max("b.y1") - F.min("b.y0")).alias("s"), F.count("*")).first()
+    furthest = min(limit, span.s or 0.0) if limit is not None else (span.s or 0.0)
+    while True:
+        reach = min(reach, furthest) if furthest > 0 else reach
+        e = G.bounds("ra")
+        wide = G.box(e["x0"] - reach, e["y0"] - reach, e["x1"] + reach, e["y1"] + reach)
+        size = max(reach, float(start))
+        near = _tile_pairs(rest.withColumn("wide", wide), b, left_key, right_key, "wide", "rb", size, {"own": F.col("ra")}, {"other": F.col("rb")})
+        found = near.select(left_key, right_key, F.round(G.distance("own", "other"), 9).alias("dist")).where(F.col("dist") <= reach)
+        best = found.groupBy(left_key).agg(F.min("dist").alias("__d"))
+        hits = found.join(best, left_key).where(F.col("dist") == F.col("__d")).drop("__d")
+        hits = _cut(hits if ties else hits.groupBy(left_key).agg(F.min(right_key).alias(right_key), F.min("dist").alias("dist")))
+        out = hits if out is None else out.unionByName(hits)
+        if reach >= furthest:
+            return out
+        rest = _cut(rest.join(hits.select(left_key).distinct(), left_key, "left_anti"))
+        if rest.isEmpty():
+            return out
+        reach *= 4
+
+
+def first_only(pairs: DataFrame, key: str, group: str) -> DataFrame:
+    """Each key once, with the first group in ascending order that it belongs to: later groups do not see it again."""
+    return pairs.groupBy(key).agg(F.min(group).alias(group))
+
+
 def within_any(points: DataFrame, layers: list[DataFrame], point_key: str, area_key: str, size: float = 1.0) -> DataFrame:
     """Distinct keys of points within an area of any layer."""
     found = [points_in(points, layer, point_key, area_key, size=size).select(point_key) for layer in layers]
@@ -141,13 +208,14 @@ def outside(points: DataFrame, region: list[tuple[float, float]]) -> DataFrame:
     return points.where(~G.contains(G.constant(region), F.col("x"), F.col("y")))
 
 
-def assign(left: DataFrame, right: DataFrame, left_key: str, right_key: str, limit: float | None = None, size: float = 1.0) -> DataFrame:
-    """Each left polygon's right id: the largest overlap (ties: lowest id), else the nearest within limit, else -1."""
-    shared = overlay(left, right, left_key, right_key, size=size).groupBy(left_key).agg(F.max_by(right_key, F.struct("overlap_area", -F.col(right_key))).alias("__a"))
+def assign(left: DataFrame, right: DataFrame, left_key: str, right_key: str, limit: float | None = None, size: float = 1.0, closest: bool = True) -> DataFrame:
+    """Each left polygon's right id: the largest overlap (ties: lowest id), else the nearest by boundary distance (within
+    ``limit`` if given; ties: lowest id), else -1. Without ``closest`` only overlaps count."""
+    shared = overlay(left, right, left_key, right_key, size=size).withColumn("__o", F.round("overlap_area", 9))
+    shared = shared.groupBy(left_key).agg(F.max_by(right_key, F.struct("__o", -F.col(right_key))).alias("__a"))
     out = left.select(left_key).join(shared, left_key, "left")
-    if limit is None:
+    if not closest:
         return out.select(left_key, F.coalesce("__a", F.lit(-1)).alias(right_key))
     rest = left.join(shared, left_key, "left_anti")
-    middle = lambda d, k: d.select(k, G.centroid("ring")["x"].alias("x"), G.centroid("ring")["y"].alias("y"))
-    near = nearest(middle(rest, left_key), middle(right, right_key), left_key, right_key, limit).select(left_key, F.col(right_key).alias("__n"))
+    near = nearest_area(rest, right, left_key, right_key, size, limit).select(left_key, F.col(right_key).alias("__n"))
     return out.join(near, left_key, "left").select(left_key, F.coalesce("__a", "__n", F.lit(-1)).alias(right_key))

@@ -32,17 +32,20 @@ def cross_tab(df: DataFrame, rows: str, columns: str, values: list, what: Column
     return df.groupBy(rows).pivot(columns, values).agg(what).fillna(fill)
 
 
-def running_share(df: DataFrame, order: str, amount: str, name: str = "cum_pct") -> DataFrame:
-    """Cumulative percentage of a total along ``order``, summed by distinct value first; ranges keep the sum parallel.
+def running_share(df: DataFrame, order: str, amount: str, name: str = "cum_pct", ranges: int = 1024) -> DataFrame:
+    """Cumulative percentage of a total along a numeric ``order``, summed by distinct value first.
 
-    Two levels: totals of value ranges are summed over few rows, then each range adds up its own.
+    Values fall into equal ranges between the extremes, a function of the value alone; the ranges' totals are summed over
+    few rows, then each range adds up its own. Null values stand in no order and drop out.
     """
-    small = df.groupBy(order).agg(F.sum(amount).alias("__n"))
-    part = small.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    small = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.sum(amount).alias("__n"))
+    ends = small.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
+    at = F.coalesce(F.try_divide((F.col(order) - F.col("__lo")) * ranges, F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    part = small.join(F.broadcast(ends)).withColumn("__p", F.floor(at).cast("int")).drop("__lo", "__hi")  # one row
     inner = part.withColumn("__in", F.sum("__n").over(W.partitionBy("__p").orderBy(order)))
     totals = part.groupBy("__p").agg(F.sum("__n").alias("__t"))
     before = totals.select("__p", (F.sum("__t").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)) - F.col("__t")).alias("__b"), F.sum("__t").over(W.partitionBy()).alias("__all"))
-    return inner.join(before, "__p").select(order, F.col("__n").alias(amount), (100.0 * (F.col("__in") + F.col("__b")) / F.col("__all")).alias(name))
+    return inner.join(F.broadcast(before), "__p").select(order, F.col("__n").alias(amount), (100.0 * (F.col("__in") + F.col("__b")) / F.col("__all")).alias(name))
 
 
 def share_where(df: DataFrame, **conditions: Column) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import bins, geometry
+from ..functions import bins, geometry, tides
 from ..functions.predicates import Closed, all_of, base, in_season, in_year, near_shore, null_audit, valid, within
-from ..functions.timeparts import day, fiscal_year, month_start, seconds_of_day
+from ..functions.timeparts import day, fiscal_year, month_start, seconds_of_day, solar_time
 from ..operators import gaps, joins, rollup
 
 
@@ -258,6 +258,12 @@ def pair_asof(doves: DataFrame, skysats: DataFrame, on: list[str], tolerance: fl
     return both.where(joins.near_time_of_day("acquired", "acquired_s", hours))
 
 
+def pair_overlapping(pairs: DataFrame, left_ring: str, right_ring: str) -> DataFrame:
+    """Pairs whose footprints share area, with it: ``overlap_area`` (the right ring convex)."""
+    cut = pairs.withColumn("__cut", geometry.clip(left_ring, right_ring))
+    return cut.withColumn("overlap_area", geometry.area("__cut")).where("overlap_area > 0").drop("__cut")
+
+
 def pair_band(doves: DataFrame, skysats: DataFrame, on: list[str], hours: float) -> DataFrame:
     return joins.band(doves, skysats, on, "acquired", "acquired_s", hours * 3600)
 
@@ -270,13 +276,26 @@ def best_overlap(pairs: DataFrame, key: str, order: str, tie: str) -> DataFrame:
 def enrich(scenes: DataFrame, cells: DataFrame, scene_key: str, cell_key: str, of_cell: bool, size: float = 1.0) -> DataFrame:
     """Scene x cell rows with the share of the cell's area (coastal tables) or of the scene's (hex tables) they share, and
     whether the shared part holds the cell's centre."""
-    shared = joins.overlay(scenes, cells, scene_key, cell_key, size=size)
-    middle = geometry.centroid("ring")
-    whole = cells.select(cell_key, geometry.area("ring").alias("whole"), middle["x"].alias("cx"), middle["y"].alias("cy"))
-    out = shared.join(whole, cell_key)
-    if not of_cell:
-        out = out.drop("whole").join(scenes.select(scene_key, geometry.area("ring").alias("whole")), scene_key)
-    return out.select(scene_key, cell_key, F.try_divide("overlap_area", "whole").alias("coverage_pct"), geometry.contains("overlap", F.col("cx"), F.col("cy")).alias("intersects_centroid"))
+    middle, whole = geometry.centroid("ring"), {"whole": geometry.area("ring")}
+    centre = {"cx": middle["x"], "cy": middle["y"]}
+    shared = joins.overlay(scenes, cells, scene_key, cell_key, size=size, left_with=None if of_cell else whole, right_with={**centre, **(whole if of_cell else {})})
+    return shared.select(scene_key, cell_key, F.try_divide("overlap_area", "whole").alias("coverage_pct"), geometry.contains("overlap", F.col("cx"), F.col("cy")).alias("intersects_centroid"))
+
+
+def enrich_fully(scenes: DataFrame, cells: DataFrame, nodes: DataFrame, scene_key: str, cell_key: str, mid: float, size: float = 1.0) -> DataFrame:
+    """The coastal table: scene x cell rows with coverage, centre hit, tide height, mid-tide flag, whether the cell has tide
+    data, and local solar time at the cell's centre (column x as degrees of longitude).
+
+    scenes: key, ``acquired``, ``ring``; nodes: tide constituents of cells (``amp, speed, phase``).
+    """
+    shared = enrich(scenes, cells, scene_key, cell_key, True, size)
+    lon = cells.select(cell_key, geometry.centroid("ring")["x"].alias("lon"))
+    rows = shared.join(scenes.select(scene_key, "acquired"), scene_key).join(lon, cell_key)
+    with_tide = tides.with_elevation(rows, nodes, cell_key, "acquired")
+    height = F.col("tide_height")
+    return with_tide.select(
+        scene_key, cell_key, "acquired", "coverage_pct", "intersects_centroid", "tide_height", F.coalesce(tides.is_mid_tide(height, mid), F.lit(False)).alias("is_mid_tide"), height.isNotNull().alias("has_tide_data"), solar_time("acquired", F.col("lon")).alias("solar_time")
+    )
 
 
 def colour_bins(df: DataFrame, column: str, n: int = 7, log: bool = False) -> DataFrame:

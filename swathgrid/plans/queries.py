@@ -135,7 +135,7 @@ select year, cast(c as bigint) as captured_grid_days, cast(m as bigint) as multi
 def q09(spark, d):
     ids = A.selected_near_shore(grids(spark, d), 20)
     daily = C.daily_satellites(captures(spark, d), ids, 2023, 2026, clear=20.0)
-    out = C.multi_capture_summary(daily, ids.count(), 2023, 2026)
+    out = C.multi_capture_summary(daily, ids, 2023, 2026)
     return out.withColumns({c: r6(c) for c in ("multi_capture_pct_of_captured", "multi_capture_pct_of_all_eligible")})
 
 
@@ -236,10 +236,17 @@ def q19(spark, d):
     return bins.histogram(samples(spark, d).where(all_of(base(), in_year("acquired", 1998, Closed.LEFT))), A.offset_hours(), HOURS, by=("instrument",))
 
 
-@query("q19b_local_time_density")
+@query(
+    "q19b_local_time_density",
+    """select instrument, bin, round(raw / sum(raw) over (partition by instrument), 9) as density from
+  (select i.instrument, i.bin, sum(coalesce(c.n, 0) * exp(-x * x / 2)) as raw from (select instrument, bin from (select distinct instrument from s), (select unnest(range(0, 48)) as bin)) as i, (select k, (-3 + 6 * k / 30.0::double) as x from (select unnest(range(0, 31)) as k))
+    left join (select instrument, bin, count(*) as n from s group by all) as c on c.instrument = i.instrument and c.bin = i.bin + k - 15 group by i.instrument, i.bin)""",
+    SAMPLES,
+    f"s as (select instrument, greatest(ceil((hour(solar_time) * 3600 + minute(solar_time) * 60 + second(solar_time)) / 1800.0::double), 1)::bigint - 1 as bin from samples where {BASE} and solar_time is not null and acquired >= timestamp '1998-01-01' and acquired < timestamp '1999-01-01')",
+)
 def q19b(spark, d):
-    """Smoothed density: tested against numpy."""
-    return A.local_time_density(samples(spark, d), 1998, 0.0, 24.0, 48)
+    found = A.local_time_density(samples(spark, d), 1998, 0.0, 24.0, 48).select("instrument", F.posexplode("density").alias("bin", "density"))
+    return found.select("instrument", F.col("bin").cast("long").alias("bin"), F.round("density", 9).alias("density"))
 
 
 @query("q20_dataset_stats", "select count(distinct case when not has_8_channel then id end) as count_4_channel, count(distinct case when has_8_channel then id end) as count_8_channel, count(distinct id) as sample_count, min(case when has_8_channel then acquired end) as first_8_date, max(case when not has_8_channel then acquired end) as last_4_date, min(acquired) as first_sample_date, max(acquired) as last_sample_date from samples where item_type = 'PSScene'", SAMPLES)
@@ -460,9 +467,7 @@ def q41c(spark, d):
 
 @query("q42_assignment", "select id, coalesce((select arg_max(grid_id, (round(w * h, 9), -grid_id)) from laps where laps.id = feet.id), -1) as grid_id from feet", GRIDS, FOOTPRINTS)
 def q42(spark, d):
-    shared = joins.overlay(footprints(spark, d), cell_boxes(spark, d), "id", "grid_id").withColumn("a", F.round("overlap_area", 9))
-    best = shared.groupBy("id").agg(F.max_by("grid_id", F.struct("a", -F.col("grid_id"))).alias("grid_id"))
-    return footprints(spark, d).select("id").join(best, "id", "left").select("id", F.coalesce("grid_id", F.lit(-1)).alias("grid_id"))
+    return joins.assign(footprints(spark, d), cell_boxes(spark, d), "id", "grid_id", closest=False)
 
 
 SIM = "sim as (select hex_id, case when grid_id % 9 > 0 then (grid_id * 13 % 150)::double end as gap from dims)"
@@ -599,3 +604,154 @@ def op_mask(spark, d):
 @query("op_stage_then_clear_order", "select grid_id, id from (select *, row_number() over (partition by grid_id order by clear_percent desc, id) as r from captures) where r = 1", CAPTURES)
 def op_top(spark, d):
     return rollup.best_first(captures(spark, d), ["grid_id"], [F.col("clear_percent").desc()], "id").select("grid_id", "id")
+
+
+@query("q37b_pair_overlap", "select id, id_s, round(least(id % 7 + 2, id_s % 5 + 1.5::double) - greatest(id % 7, id_s % 5), 6) as overlap_area from pairs where least(id % 7 + 2, id_s % 5 + 1.5::double) > greatest(id % 7, id_s % 5)", PAIRED)
+def q37b(spark, d):
+    one, x, y = F.lit(1), F.col("id") % 7, F.col("id_s") % 5
+    p = A.pair_band(*_doves(spark, d), ["user_id"], 6).withColumns({"a": geometry.box(x, one - 1, x + 2, one), "b": geometry.box(y, one - 1, y + 1.5, one)})
+    return A.pair_overlapping(p, "a", "b").select("id", "id_s", r6("overlap_area").alias("overlap_area"))
+
+
+def _scenes(spark, d):
+    """Footprints with the time at which they were taken."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.abs(F.split("id", "-")[0].cast("long")) % 500000).cast("int"))
+    return footprints(spark, d).withColumn("acquired", at)
+
+
+_H = "(epoch(acquired) / 3600.0::double)"
+_EOT = "229.18::double * (0.000075::double + 0.001868::double * cos(b) - 0.032077::double * sin(b) - 0.014615::double * cos(2 * b) - 0.040849::double * sin(2 * b))"
+_B = "2 * 3.141592653589793::double * (dayofyear({0}) - 1 + (hour({0}) - 12) / 24.0::double) / 365"
+
+
+@query(
+    "q39c_full_enrichment",
+    f"""select id, grid_id, acquired, coverage_pct, intersects_centroid, round(tide_height, 5) as tide_height, coalesce(abs(tide_height) < 0.5, false) as is_mid_tide, tide_height is not null as has_tide_data,
+  round(({_EOT} / 60 + (grid_id % 20 + 0.5::double) / 15) * 3600, 2) as solar_offset from (select *, case when grid_id % 5 <> 0 then (1 + (grid_id % 4)::double / 4) * cos(radians(28.984104::double * {_H} - 10)) + 0.5::double * cos(radians(30.0::double * {_H} - 40)) end as tide_height, {_B.format('acquired')} as b
+  from (select id, grid_id, timestamp '2024-01-01' + to_minutes(split_part(id, '-', 1)::bigint % 500000) as acquired, round(w * h, 6) as coverage_pct, (bx + 0.5 between greatest(x0, bx) and least(x1, bx + 1)) and (gy0 + 0.5 between greatest(y0, gy0) and least(y1, gy0 + 1)) as intersects_centroid
+  from (select l.*, feet.x0, feet.x1, feet.y0, feet.y1, (grid_id % 20)::double as bx, floor(grid_id / 20)::double as gy0 from laps as l join feet using (id))))""",
+    GRIDS, FOOTPRINTS,
+)
+def q39c(spark, d):
+    own = grids(spark, d).where("grid_id % 5 <> 0")
+    nodes = own.select("grid_id", (1 + F.col("grid_id") % 4 / 4).alias("amp"), F.lit(28.984104).alias("speed"), F.lit(10.0).alias("phase")).union(own.select("grid_id", F.lit(0.5), F.lit(30.0), F.lit(40.0)))
+    out = A.enrich_fully(_scenes(spark, d), cell_boxes(spark, d), nodes, "id", "grid_id", 0.5)
+    return out.select("id", "grid_id", "acquired", r6("coverage_pct").alias("coverage_pct"), "intersects_centroid", F.round("tide_height", 5).alias("tide_height"), "is_mid_tide", "has_tide_data", F.round(timeparts.epoch("solar_time") - timeparts.epoch("acquired"), 2).alias("solar_offset"))
+
+
+@query("q41d_observed_tides", "select cell_id, round(min(h), 4) as low, round(max(h), 4) as high, round((max(h) - min(h)) / any_value(tmax - tmin), 4) as spread, round(min(h) - any_value(tmin), 4) as low_offset from (select cell_id, tide_height as h from series where (hour(acquired), minute(acquired)) = (10, 30) and cast(acquired as date) in (date '2024-01-01', date '2024-01-06')) join (select cell_id, min(tide_height) as tmin, max(tide_height) as tmax from series group by cell_id) using (cell_id) group by cell_id", SERIES)
+def q41d(spark, d):
+    names = {"sentinel_min_observed_height": "low", "sentinel_max_observed_height": "high", "sentinel_observed_spread": "spread", "sentinel_observed_low_tide_offset": "low_offset"}
+    return tides.simulate(_series(spark, d), "cell_id", "solar_time", 0.25, 10.0)[1].select("cell_id", *[F.round(c, 4).alias(n) for c, n in names.items()])
+
+
+@query("op_assign_nearest", "select id, coalesce((select arg_max(grid_id, (round(w * h, 9), -grid_id)) from laps where laps.id = feet.id and grid_id % 7 = 0), (select arg_min(grid_id, (round(sqrt(greatest(0, bx - x1, x0 - bx - 1) ** 2 + greatest(0, gy0 - y1, y0 - gy0 - 1) ** 2), 9), grid_id)) from boxes where grid_id % 7 = 0)) as grid_id from feet", GRIDS, FOOTPRINTS)
+def op_assign(spark, d):
+    return joins.assign(footprints(spark, d), cell_boxes(spark, d).where("grid_id % 7 = 0"), "id", "grid_id")
+
+
+@query("op_nearest_areas", "select a.grid_id, b.grid_id as near_id, round(e, 6) as dist from (select a.grid_id, b.grid_id as near, round(sqrt(greatest(0, b.bx - a.bx - 1, a.bx - b.bx - 1) ** 2 + greatest(0, b.gy0 - a.gy0 - 1, a.gy0 - b.gy0 - 1) ** 2), 9) as e, min(e) over (partition by a.grid_id) as least from boxes as a, boxes as b where a.grid_id % 11 = 0 and b.grid_id % 23 = 3) as x, (select grid_id from boxes) as a, (select grid_id from boxes) as b where a.grid_id = x.grid_id and b.grid_id = near and e = least", GRIDS, FOOTPRINTS)
+def op_nearest_areas(spark, d):
+    cells = cell_boxes(spark, d)
+    right = cells.where("grid_id % 23 = 3").select(F.col("grid_id").alias("near_id"), "ring")
+    return joins.nearest_area(cells.where("grid_id % 11 = 0"), right, "grid_id", "near_id", 1.0, ties=True).withColumn("dist", r6("dist"))
+
+
+@query("op_first_cell", "select id, min(grid_id) as grid_id from laps group by id", GRIDS, FOOTPRINTS)
+def op_first(spark, d):
+    return joins.first_only(joins.overlay(footprints(spark, d), cell_boxes(spark, d), "id", "grid_id").select("id", "grid_id"), "id", "grid_id")
+
+
+@query("op_remaining", "select grid_id from dims where grid_id not in (select grid_id from captures)", GRIDS, CAPTURES)
+def op_remaining(spark, d):
+    from ..sources.sinks import remaining
+
+    return remaining(grids(spark, d).select("grid_id"), captures(spark, d), ["grid_id"])
+
+
+@query("op_intersects", "select feet.id, grid_id from feet left join (select * from boxes where grid_id % 3 = 0) as b on greatest(x0, bx) <= least(x1, bx + 1) and greatest(y0, gy0) <= least(y1, gy0 + 1)", GRIDS, FOOTPRINTS)
+def op_intersects(spark, d):
+    return joins.intersects(footprints(spark, d), cell_boxes(spark, d).where("grid_id % 3 = 0"), "id", "grid_id", keep_left=True)
+
+
+def _middles(spark, d):
+    b = geometry.bounds("ring")
+    return footprints(spark, d).select("id", ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y"))
+
+
+@query("op_within_layers", "select distinct id from feet, boxes join dims using (grid_id) where (is_land or is_coast or grid_id % 13 = 0) and (x0 + x1) / 2 between bx and bx + 1 and (y0 + y1) / 2 between gy0 and gy0 + 1", GRIDS, FOOTPRINTS)
+def op_within_layers(spark, d):
+    cells = cell_boxes(spark, d).join(grids(spark, d).select("grid_id", "is_land", "is_coast"), "grid_id")
+    return joins.within_any(_middles(spark, d), [cells.where("is_land"), cells.where("is_coast"), cells.where("grid_id % 13 = 0")], "id", "grid_id")
+
+
+@query("op_outside", "select id from feet where not ((x0 + x1) / 2 between 2 and 10 and (y0 + y1) / 2 between 1 and 5)", GRIDS, FOOTPRINTS)
+def op_outside(spark, d):
+    return joins.outside(_middles(spark, d), [(2, 1), (10, 1), (10, 5), (2, 5)]).select("id")
+
+
+@query("op_coast_distance", "select grid_id, round(min(sqrt((bx + 0.5 - px) ** 2 + (gy0 + 0.5 - py) ** 2)), 6) as dist from boxes, (select bx + k / 4.0::double as px, gy0 + s as py from coast, (values (0), (1)) as s(s) union all select bx + s, gy0 + k / 4.0::double from coast, (values (0), (1)) as s(s)) where sqrt((bx + 0.5 - px) ** 2 + (gy0 + 0.5 - py) ** 2) <= 1.5 group by grid_id", GRIDS, FOOTPRINTS, "coast as (select bx, gy0, k from boxes join dims using (grid_id), (select unnest(range(0, 5)) as k) where is_coast)")
+def op_coast_distance(spark, d):
+    cells = cell_boxes(spark, d)
+    points = cells.select("grid_id", geometry.centroid("ring").alias("c")).select("grid_id", F.round("c.x", 9).alias("x"), F.round("c.y", 9).alias("y"))
+    coast = cells.join(grids(spark, d).where("is_coast").select("grid_id"), "grid_id", "left_semi")
+    return joins.distance_to_lines(points, coast, "grid_id", 0.25, 1.5).withColumn("dist", r6("dist"))
+
+
+@query("op_lat_band", "select grid_id from dims where dist_km between 10 and 30", GRIDS)
+def op_lat_band(spark, d):
+    from ..functions.predicates import lat_band
+
+    return grids(spark, d).where(lat_band("dist_km", 10.0, 30.0)).select("grid_id")
+
+
+@query("op_coastal_flags", """select grid_id, case when near is null and not land and not at_zero then null when land or at_zero then 0.0 else least(near, 50.0) end as dist_km, land as is_land, coastal and not land as is_coast from
+  (select *, coalesce(is_land or (is_coast and near > 4), is_land) as land, is_coast as coastal from (select grid_id, is_land, is_coast, grid_id % 17 = 0 as at_zero, least(case when grid_id % 13 <> 0 then dist_km end, case when grid_id % 7 <> 0 then (grid_id * 3 % 50)::double end) as near from dims))""", GRIDS)
+def op_coastal_flags(spark, d):
+    from ..operators.grids import coastal_flags
+
+    i = F.col("grid_id")
+    cells = grids(spark, d).select("grid_id", F.when(i % 13 != 0, F.col("dist_km")).alias("line_km"), F.when(i % 7 != 0, (i * 3 % 50).cast("double")).alias("island_km"), F.col("is_land").alias("on_land"), F.col("is_coast").alias("coastal"), (i % 17 == 0).alias("at_zero"))
+    return coastal_flags(cells).select("grid_id", "dist_km", "is_land", "is_coast")
+
+
+@query("op_equation_of_time", f"select id, round({_EOT}, 6) as minutes from (select id, {_B.format('acquired')} as b from captures)", CAPTURES)
+def op_equation_of_time(spark, d):
+    return captures(spark, d).select("id", r6(timeparts.equation_of_time("acquired")).alias("minutes"))
+
+
+@query("op_iso_text", "select id, strftime(acquired, '%Y-%m-%dT%H:%M:%S') || printf('.%06dZ', microsecond(acquired) % 1000000) as iso, acquired from captures", CAPTURES)
+def op_iso_text(spark, d):
+    text = captures(spark, d).select("id", timeparts.iso_utc("acquired").alias("iso"))
+    return text.withColumn("acquired", timeparts.parse_iso("iso"))
+
+
+@query("op_catalogue_items", "select id, id::bigint % 3 = 0 as has_8_channel, id::bigint % 2 = 0 as has_sr_asset, case when id::bigint % 5 = 0 then 100 - (id::bigint % 4) * 25 else id::bigint % 90 end as clear_percent, case when id::bigint % 7 = 0 then 'SkySat' else 'PS2' end as instrument, id::bigint % 11 <> 0 or id::bigint % 13 = 0 as ground_control from captures", CAPTURES)
+def op_catalogue_items(spark, d):
+    """Raw catalogue items as JSON, read back with the defaults of absent attributes."""
+    from ..sources.catalogue import items_to_scenes
+
+    i = F.col("id").cast("long")
+    assets = F.map_filter(F.create_map(F.lit("basic_analytic_8b"), F.when(i % 3 == 0, "x"), F.lit("ortho_analytic_sr"), F.when(i % 2 == 0, "x")), lambda k, v: v.isNotNull())
+    properties = F.struct(timeparts.iso_utc("acquired").alias("acquired"), F.lit("PSScene").alias("item_type"), F.when(i % 5 != 0, (i % 90).cast("double")).alias("clear_percent"), F.when(i % 5 == 0, (i % 4) / 4.0).alias("cloud_cover"), F.when(i % 7 != 0, "PS2").alias("instrument"), F.when(i % 13 != 0, i % 11 != 0).alias("ground_control"))
+    raw = captures(spark, d).select(F.lit(1).cast("long").alias("cell_id"), F.to_json(F.struct("id", F.transform_values(assets, lambda k, v: F.struct(v.alias("location"))).alias("assets"), properties.alias("properties"))).alias("item"))
+    return items_to_scenes(raw).select("id", "has_8_channel", "has_sr_asset", "clear_percent", "instrument", "ground_control")
+
+
+@query("op_valid_rings", "select id, split_part(id, '-', 2)::bigint % 4 <> 0 as valid from feet", GRIDS, FOOTPRINTS)
+def op_valid_rings(spark, d):
+    """Rings of which every fourth is folded into a line."""
+    flat = F.split("id", "-")[1].cast("long") % 4 == 0
+    rings = footprints(spark, d).select("id", F.when(flat, F.transform("ring", lambda p: F.struct(p["x"].alias("x"), F.lit(0.0).alias("y")))).otherwise(F.col("ring")).alias("ring"))
+    return rings.select("id", geometry.valid_ring("ring").alias("valid"))
+
+
+@query("op_wkb_round_trip", "select id, round(x0, 6) as x0, round(y0, 6) as y0, round(x1, 6) as x1, round(y1, 6) as y1 from feet", GRIDS, FOOTPRINTS)
+def op_wkb(spark, d):
+    back = footprints(spark, d).select("id", geometry.to_wkb("ring").alias("wkb")).select("id", geometry.from_wkb("wkb").alias("ring"))
+    return back.select("id", geometry.bounds("ring").alias("b")).select("id", *[r6(F.col(f"b.{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("op_segmentize", "select id, (2 * greatest(ceil(abs(x1 - x0) / 0.5), 1) + 2 * greatest(ceil(abs(y1 - y0) / 0.5), 1))::bigint as corners from feet", GRIDS, FOOTPRINTS)
+def op_segmentize(spark, d):
+    return footprints(spark, d).select("id", F.size(geometry.segmentize("ring", 0.5)).cast("long").alias("corners"))
