@@ -58,8 +58,10 @@ class _Cell(InputPartition):
 class CatalogueSource(DataSource):
     """Recorded searches: option ``responses`` is JSON {cell id: path of a JSON-lines file}, ``filter`` a search filter.
 
-    One partition per cell; rows are (cell_id, item as JSON). A cell whose file is missing or broken gives no rows, as a
-    failed search does; ``limit`` bounds the items of a cell as the service does.
+    One partition per cell; rows are (cell_id, item as JSON). ``limit`` bounds the items of a cell as the service does. A file
+    that is missing and a line that is no JSON raise an error; with ``broken`` set to ``report`` they give a row with the
+    reason, ``{"error": ..., "path": ..., "line": ...}``, and reading goes on: ``failures`` selects these rows. Paths are
+    opened on the executors and must be on a file system that they all mount.
     """
 
     @classmethod
@@ -83,16 +85,25 @@ class _CatalogueReader(DataSourceReader):
     def read(self, part: _Cell) -> Iterator[tuple]:
         conditions = json.loads(self.options["filter"]) if self.options.get("filter") else None
         limit, n = int(self.options.get("limit", 0)), 0
+        report = self.options.get("broken", "fail") == "report"
+
+        def broken(error: Exception, line: int | None) -> tuple:
+            if not report:
+                raise ValueError(f"{part.path}, line {line}: {error}") from error
+            return part.cell, json.dumps({"error": f"{type(error).__name__}: {error}", "path": part.path, "line": line})
+
         try:
             lines = open(part.path, encoding="utf-8")
-        except OSError:
+        except OSError as e:
+            yield broken(e, None)
             return
         with lines:
-            for line in lines:
+            for k, line in enumerate(lines, 1):
                 try:
                     item = json.loads(line)
-                except ValueError:
-                    return
+                except ValueError as e:
+                    yield broken(e, k)
+                    continue
                 if conditions is None or passes(item, conditions):
                     yield part.cell, json.dumps(item)
                     n += 1
@@ -100,6 +111,12 @@ class _CatalogueReader(DataSourceReader):
                         return
 
 
+def failures(items: DataFrame, raw: str = "item") -> DataFrame:
+    """``cell_id, error, path, line`` of what a catalogue read with ``broken`` set to ``report`` could not read."""
+    found = F.from_json(raw, "error string, path string, line bigint")
+    return items.select("cell_id", found.alias("f")).where("f.error is not null").select("cell_id", "f.*")
+
+
 class FeaturePages(DataSource):
     """Recorded pages of feature collections: option ``pages`` is JSON [[collection, offset, path], …], one partition each."""
 
@@ -159,7 +176,7 @@ def items_to_scenes(items: DataFrame, raw: str = "item") -> DataFrame:
     """Scenes (without WKB) of raw JSON items, with the defaults of absent attributes."""
     p = lambda n: F.col(f"i.properties.{n}")
     clear = F.coalesce(p("clear_percent"), 100 - (F.coalesce(p("cloud_cover"), F.lit(0.0)) * 100).cast("int"))
-    known = items.select("cell_id", F.from_json(raw, ITEM).alias("i"))
+    known = items.select("cell_id", F.from_json(raw, ITEM).alias("i")).where("i.id is not null")
     assets = F.col("i.assets")
     return known.select(
         F.col("i.id").alias("id"), parse_iso(p("acquired")).alias("acquired"), p("item_type").alias("item_type"), p("satellite_id").alias("satellite_id"), F.coalesce(p("instrument"), F.lit("SkySat")).alias("instrument"), "cell_id",
@@ -170,7 +187,7 @@ def items_to_scenes(items: DataFrame, raw: str = "item") -> DataFrame:
 
 def missing_attributes(items: DataFrame, raw: str = "item") -> DataFrame:
     """Presence flags of optional attributes, only of items that lack one."""
-    known = items.select(F.from_json(raw, ITEM).alias("i"))
+    known = items.select(F.from_json(raw, ITEM).alias("i")).where("i.id is not null")
     names = ("instrument", "clear_percent", "cloud_cover", "ground_control", "publishing_stage")
     flags = [F.col(f"i.properties.{n}").isNotNull().alias(n) for n in names] + [F.col("i.assets").isNotNull().alias("assets")]
     rows = known.select(parse_iso(F.col("i.properties.acquired")).alias("acquired"), F.col("i.properties.item_type").alias("item_type"), *flags)

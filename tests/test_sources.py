@@ -25,17 +25,20 @@ def test_catalogue(spark, tmp_path):
     full = item("a", clear_percent=80, cloud_cover=0.1, instrument="PS2", ground_control=False, publishing_stage="preview")
     full["assets"]["basic_analytic_8b"] = {}
     (tmp_path / "7.json").write_text("\n".join(json.dumps(x) for x in (full, item("b", cloud_cover=0.257), item("c", acquired="2024-01-01T00:00:00Z"), item("d", quality_category="test"))))
-    (tmp_path / "9.json").write_text("{broken")
+    (tmp_path / "9.json").write_text("\n".join(["{broken", json.dumps(item("e", cloud_cover=0.5)), "}"]))
     spark.dataSource.register(sources.CatalogueSource)
     conditions = catalogue.search_filter("2023-01-01", "2024-01-01", item_types=("PSScene",))
-    raw = spark.read.format("scene_catalogue").option("responses", json.dumps({"7": f"{tmp_path}/7.json", "8": f"{tmp_path}/none.json", "9": f"{tmp_path}/9.json"})).option("filter", json.dumps(conditions)).load()
+    raw = spark.read.format("scene_catalogue").option("responses", json.dumps({"7": f"{tmp_path}/7.json", "8": f"{tmp_path}/none.json", "9": f"{tmp_path}/9.json"})).option("filter", json.dumps(conditions)).option("broken", "report").load()
+    assert sorted((r.cell_id, r.line) for r in catalogue.failures(raw).collect()) == [(8, None), (9, 1), (9, 3)]
+    with pytest.raises(Exception, match="9.json, line 1"):
+        spark.read.format("scene_catalogue").option("responses", json.dumps({"9": f"{tmp_path}/9.json"})).load().collect()
     got = {r.id: r for r in schemas.checked(sources.items_to_scenes(raw)).collect()}
-    assert set(got) == {"a", "b"} and raw.rdd.getNumPartitions() == 3
+    assert set(got) == {"a", "b", "e"} and raw.rdd.getNumPartitions() == 3
     assert (got["a"].clear_percent, got["a"].instrument, got["a"].ground_control, got["a"].publishing_stage, got["a"].has_8_channel, got["a"].has_sr_asset) == (80.0, "PS2", False, "preview", True, True)
     assert (got["b"].clear_percent, got["b"].instrument, got["b"].ground_control, got["b"].publishing_stage, got["b"].has_8_channel) == (75.0, "SkySat", True, "finalized", False)
     assert got["a"].acquired == dt.datetime(2023, 5, 1, 10, 0, 0, 250000) and got["a"].cell_id == 7
     flags = sources.missing_attributes(raw).collect()
-    assert len(flags) == 1 and not flags[0].instrument and flags[0].cloud_cover and flags[0].assets
+    assert len(flags) == 2 and all(not f.instrument and f.cloud_cover and f.assets for f in flags)
     with pytest.raises(Exception, match="outside its domain"):
         schemas.checked(spark.createDataFrame([("Other",)], "item_type string")).collect()
     assert catalogue.asset_name("PSScene", "ortho") == "ortho_analytic_4b"
@@ -126,3 +129,22 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         streaming.ingest(streaming.scene_stream(spark, f"file://{tmp_path}/in", df.schema), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", ["id"], ["k"]).awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 12
+
+
+def test_geopackage_sink_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from swathgrid.functions import geometry
+    from swathgrid.sources import sinks
+
+    ring = geometry.box(F.col("id") * 1.0, F.lit(0.0), F.col("id") + 1.5, F.lit(2.0))
+    cells = spark.range(50).repartition(3).select(F.col("id").alias("cell"), (F.col("id") % 2 == 0).alias("even"), (F.col("id") / 4).alias("share"), F.concat(F.lit("n"), "id").alias("name"), ring.alias("ring"))
+    files_made = sinks.write_geopackage(cells, f"{tmp_path}/out", "cells").collect()
+    assert sum(r.n for r in files_made) == 50
+    spark.dataSource.register(sources.GeoPackageSource)
+    back = []
+    for r in files_made:
+        df = spark.read.format("geopackage").option("path", r.file).option("table", "cells").load()
+        back += df.select("cell", "even", "share", "name", geometry.bounds(geometry.from_wkb("geom")).alias("b")).collect()
+    assert sorted((r.cell, r.even, r.share, r.name, r.b.x0, r.b.x1, r.b.y1) for r in back) == [(k, k % 2 == 0, k / 4, f"n{k}", k, k + 1.5, 2.0) for k in range(50)]
+    assert sinks.write_geopackage(cells.limit(0), f"{tmp_path}/none", "cells").count() == 0
