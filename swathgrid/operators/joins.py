@@ -66,11 +66,12 @@ def dim_left(dim: DataFrame, facts: DataFrame, key: str, fill: dict[str, float]
 
 #: Tiles that one ring may meet: more means that ``size`` is in another unit than the rings.
 MOST_TILES = 10_000
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 
-def tiles(ring: str | Column, size: float) -> Column:
-    """Keys of the tiles that a ring's bounding box meets; an error where they are more than ``MOST_TILES``."""
-    box = G.bounds(ring)
+def tiles(box: str | Column, size: float) -> Column:
+    """Keys of the tiles that bounds meet; an error where they are more than ``MOST_TILES``."""
+    box = F.col(box) if isinstance(box, str) else box
     tile = lambda c: F.floor(box[c] / size).cast("long")
     n = (tile("x1") - tile("x0") + 1) * (tile("y1") - tile("y0") + 1)
     cells = lambda low, high: F.sequence(tile(low), tile(high))
@@ -86,8 +87,12 @@ def _tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """
 
     def side(df: DataFrame, key: str, ring: str, r: str, b: str, more: dict[str, Column] | None) -> DataFrame:
-        own = df.select(key, *[c.alias(n) for n, c in (more or {}).items()], F.col(ring).alias(r), G.bounds(ring).alias(b))
-        return own.withColumn("tile", F.explode(tiles(r, size))).withColumn(r, F.when(~G.is_box(r, b), F.col(r)))
+        names = list(more or {})
+        # bounds and the test are bound once, in one expression, however often filters repeat it
+        both = F.transform(F.array(G.bounds(ring)), lambda x: F.struct(*[x[c].alias(c) for c in ("x0", "y0", "x1", "y1")], G.is_box(ring, x).alias("is")))
+        own = df.select(key, *[c.alias(n) for n, c in (more or {}).items()], F.col(ring).alias(r), F.get(both, F.lit(0)).alias(b))
+        own = own.select(key, *names, F.when(~F.col(f"{b}.is"), F.col(r)).alias(r), b)
+        return own.withColumn("tile", F.explode(tiles(b, size)))
 
     joined = side(left, left_key, left_ring, "ra", "ba", left_with).join(side(right, right_key, right_ring, "rb", "bb", right_with), "tile")
     x, y = F.greatest("ba.x0", "bb.x0"), F.greatest("ba.y0", "bb.y0")
@@ -101,23 +106,27 @@ def _ring_of(r: str, b: str) -> Column:
 
 
 def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str = "ring", right_ring: str = "ring", size: float = 1.0, left_with: dict[str, Column] | None = None, right_with: dict[str, Column] | None = None) -> DataFrame:
-    """``left_key, right_key, overlap`` (the intersection's ring) ``, overlap_area`` of pairs that share area, and the columns
-    ``left_with`` and ``right_with`` of either side, computed before rows are dealt to tiles.
+    """``left_key, right_key, overlap`` (the intersection's ring) ``, overlap_box`` (its bounds where both are boxes, else
+    null) ``, overlap_area`` of pairs that share area, and the columns ``left_with`` and ``right_with`` of either side,
+    computed before rows are dealt to tiles.
 
     The right rings must be convex, as grid cells are. Two boxes are cut by expressions; other pairs in Arrow batches.
     """
     pairs = _tile_pairs(left, right, left_key, right_key, left_ring, right_ring, size, left_with, right_with)
-    boxes = F.col("ra").isNull() & F.col("rb").isNull()
-    cut = pairs.withColumn("__cut", G.clip(F.when(~boxes, _ring_of("ra", "ba")), F.when(~boxes, _ring_of("rb", "bb"))))
-    shared = G.box(F.greatest("ba.x0", "bb.x0"), F.greatest("ba.y0", "bb.y0"), F.least("ba.x1", "bb.x1"), F.least("ba.y1", "bb.y1"))
+    boxes = F.col("ba.is") & F.col("bb.is")
     names = [left_key, right_key, *(left_with or {}), *(right_with or {})]
-    return cut.select(*names, F.when(boxes, shared).otherwise(F.col("__cut")).alias("overlap")).withColumn("overlap_area", G.area("overlap")).where("overlap_area > 0")
+    x0, y0, x1, y1 = F.greatest("ba.x0", "bb.x0"), F.greatest("ba.y0", "bb.y0"), F.least("ba.x1", "bb.x1"), F.least("ba.y1", "bb.y1")
+    box = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    plain = pairs.where(boxes).select(*names, G.box(x0, y0, x1, y1).alias("overlap"), box.alias("overlap_box"), ((x1 - x0) * (y1 - y0)).alias("overlap_area"))
+    # no row of two boxes reaches the Python worker
+    cut = pairs.where(~boxes).select(*names, G.clip(_ring_of("ra", "ba"), _ring_of("rb", "bb")).alias("overlap"), F.lit(None).cast(BOX).alias("overlap_box"))
+    return plain.unionByName(cut.withColumn("overlap_area", G.area("overlap"))).where("overlap_area > 0")
 
 
 def intersects(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str = "ring", right_ring: str = "ring", size: float = 1.0, keep_left: bool = False) -> DataFrame:
     """Key pairs of rings that touch or overlap (right ones convex); keep_left adds unmatched left keys with null."""
     found = _tile_pairs(left, right, left_key, right_key, left_ring, right_ring, size)  # of two boxes the bounds meet
-    boxes = F.col("ra").isNull() & F.col("rb").isNull()
+    boxes = F.col("ba.is") & F.col("bb.is")
     pairs = found.where(boxes | G.touches(F.when(~boxes, _ring_of("ra", "ba")), F.when(~boxes, _ring_of("rb", "bb")))).select(left_key, right_key)
     return left.select(left_key).join(pairs, left_key, "left") if keep_left else pairs
 
@@ -125,7 +134,7 @@ def intersects(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 def points_in(points: DataFrame, areas: DataFrame, point_key: str, area_key: str, x: str = "x", y: str = "y", ring: str = "ring", size: float = 1.0) -> DataFrame:
     """Key pairs of points within areas (boundary included), through the tile of the point."""
     a = points.select(point_key, F.col(x).alias("__x"), F.col(y).alias("__y"), F.struct(F.floor(F.col(x) / size).alias("x"), F.floor(F.col(y) / size).alias("y")).alias("tile"))
-    b = areas.select(area_key, F.col(ring).alias("__ring"), F.explode(tiles(ring, size)).alias("tile"))
+    b = areas.select(area_key, F.col(ring).alias("__ring"), G.bounds(ring).alias("__b")).select(area_key, "__ring", F.explode(tiles("__b", size)).alias("tile"))
     return a.join(b, "tile").where(G.contains(F.col("__ring"), F.col("__x"), F.col("__y"))).select(point_key, area_key)
 
 

@@ -279,7 +279,9 @@ def enrich(scenes: DataFrame, cells: DataFrame, scene_key: str, cell_key: str, o
     middle, whole = geometry.centroid("ring"), {"whole": geometry.area("ring")}
     centre = {"cx": middle["x"], "cy": middle["y"]}
     shared = joins.overlay(scenes, cells, scene_key, cell_key, size=size, left_with=None if of_cell else whole, right_with={**centre, **(whole if of_cell else {})})
-    return shared.select(scene_key, cell_key, F.try_divide("overlap_area", "whole").alias("coverage_pct"), geometry.contains("overlap", F.col("cx"), F.col("cy")).alias("intersects_centroid"))
+    box = F.col("overlap_box")
+    held = F.when(box.isNotNull(), F.col("cx").between(box["x0"], box["x1"]) & F.col("cy").between(box["y0"], box["y1"])).otherwise(geometry.contains("overlap", F.col("cx"), F.col("cy")))
+    return shared.select(scene_key, cell_key, F.try_divide("overlap_area", "whole").alias("coverage_pct"), held.alias("intersects_centroid"))
 
 
 def enrich_fully(scenes: DataFrame, cells: DataFrame, nodes: DataFrame, scene_key: str, cell_key: str, mid: float, size: float = 1.0) -> DataFrame:
