@@ -4,13 +4,13 @@ DataFrame and SQL functions only. A line's shingles are its strings of eight cha
 shorter line is one shingle). Their hashes, sorted, stand on a circle; from each of six fixed points on it the three next
 hashes are one band: min-wise hashes by rotation, three to a band, from one hash a shingle.
 
-Candidates come in two passes, both of which aggregate before they shuffle and pair each line with a bounded number of others:
+Every pair of lines that share a band is decided, in two passes:
 
-1. Each line of a band is compared with the band's least and greatest line, which is all pairs up to three lines.
-2. Bands of four lines or more in which such a comparison failed hold lines that share a template without being copies. Their
-   lines are indexed by the rarest of a sixth of their shingles (by hash), and those that share one are compared: all
-   pairs up to ``FEW`` lines, the least and greatest beyond. Template shingles are not rare, so a pair is found by what its
-   lines share besides the template, without comparing all lines of it (a prefix filter).
+1. Each line of a band is compared with the band's least and greatest line, which is all pairs up to three lines. Links make
+   components.
+2. In bands whose lines are still of several components every pair across components is looked at, whatever the band's size:
+   bands are cut into blocks and each two blocks are one cell of a join on bitmaps, which bound the symmetric difference of
+   two sets from below, so that no link is lost. What they leave is compared by texts (``_across``).
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ SHINGLE_CHARS = 8
 THRESHOLD = 0.8
 #: Bands of a line and hashes in a band: a pair at the threshold shares a band with odds of 0.987.
 BANDS, ROWS = 6, 3
-#: Least hashes of a line in its sketch.
-SKETCH = 64
+#: 64-bit words of a line's bitmap.
+WORDS = 16
 #: Bands of more rows than about HOT are dealt in so many parts.
 HOT, SALTS = 1024, 64
-#: Of a template's lines one shingle in so many is indexed, this share of it and one, and so many lines are paired all.
-SAMPLED, SLACK, FEW = 6, 0.25, 6
+#: Lines of an open band's block, about, and pairs of lines that a task looks at.
+BLOCK, TASK_PAIRS = 2048, 1 << 24
+#: Pairs a line with candidates that are compared at once; of more, each line's least and greatest partner go first.
+AT_ONCE = 8
 
 
 def _hashes(text: str, size: int) -> str:
@@ -41,7 +43,7 @@ def _hashes(text: str, size: int) -> str:
 def _signed(lines: DataFrame, size: int) -> DataFrame:
     """``lid, bands``: the distinct band keys of each line."""
     points = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)]
-    hashed = lines.select("lid", F.sort_array(F.expr(_hashes("text", size))).alias("s"))
+    hashed = lines.select("lid", F.sort_array(F.array_distinct(F.expr(_hashes("text", size)))).alias("s"))
     circle = hashed.select("lid", F.concat("s", F.slice("s", 1, ROWS)).alias("c"), F.sort_array(F.concat("s", F.array(*[F.lit(p) for p in points[1:]]))).alias("g"))
 
     def at(k: int) -> Column:
@@ -69,20 +71,39 @@ def _second() -> Column:
     return F.xxhash64(F.lit(1), F.col("text"))
 
 
+def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """``lid, n, w0, w1, ...``: size of a line's set of shingles, and a bitmap in which each shingle flips one bit."""
+    sets = texts.select("lid", F.expr(f"explode(array(array_distinct({_hashes('text', size)})))").alias("s"))  # evaluated once
+    flips = [F.expr(f"bit_xor(if((shiftright(h, 6) & {WORDS - 1}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{k}") for k in range(WORDS)]
+    return sets.select("lid", F.explode("s").alias("h")).groupBy("lid").agg(F.count("*").alias("n"), *flips)
+
+
+def _may_link(threshold: float) -> Column:
+    """False only for lines, with their bitmaps as ``x`` and ``y``, whose Jaccard similarity is below the threshold.
+
+    Two bitmaps differ in no more bits than their sets in elements, of which a pair at similarity j has (1 - j) / (1 + j) of
+    both sizes' sum.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    bits = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WORDS)), F.lit(0))
+    return (F.least(n, m) + 1e-6 >= threshold * F.greatest(n, m)) & (bits * (1 + threshold) <= (n + m) * (1 - threshold) + 1e-6)
+
+
+def _pruned(pairs: DataFrame, bitmaps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` that their bitmaps do not rule out."""
+    x, y = again(bitmaps).withColumnRenamed("lid", "a").alias("x"), again(bitmaps).withColumnRenamed("lid", "b").alias("y")
+    return pairs.join(x, "a").join(y, "b").where(_may_link(threshold)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """Pairs ``a, b`` of lids whose sets of shingles have at least the Jaccard similarity.
 
-    Pairs whose sketches tell a similarity five deviations below the threshold are left out first (odds of one in a million
-    for a pair at the threshold). Texts travel, not the sets, which take some eight times the bytes.
+    Texts travel, not the sets, which take some eight times the bytes.
     """
-    sketches = lambda side, s: again(texts).select(F.col("lid").alias(side), F.col("sketch").alias(s))
-    least = F.expr(f"slice(sort_array(array_union(x, y)), 1, {SKETCH})").alias("u")
-    told = pairs.join(sketches("a", "x"), "a").join(sketches("b", "y"), "b").select("a", "b", least, F.array_intersect("x", "y").alias("i"))
-    near = told.where(F.size(F.array_intersect("u", "i")) >= threshold * F.size("u") - 2 * F.sqrt(F.size("u"))).select("a", "b")
     left = again(texts).select(F.col("lid").alias("a"), F.col("text").alias("ta"))
     right = again(texts).select(F.col("lid").alias("b"), F.col("text").alias("tb"))
     sets = F.expr(f"inline(array(named_struct('x', {_hashes('ta', size)}, 'y', {_hashes('tb', size)})))")  # evaluated once
-    both = near.join(left, "a").join(right, "b").select("a", "b", sets)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", sets)
     return both.where(F.size(F.array_intersect("x", "y")) >= threshold * F.size(F.array_union("x", "y"))).select("a", "b")
 
 
@@ -116,31 +137,60 @@ def _grouped(signed: DataFrame) -> DataFrame:
     return found.where("lo < hi").select("band", "lid", "lo", "hi", "n").union(ends(top, "band").where("lo < hi").select("band", "lid", "lo", "hi", "n"))
 
 
-def _indexed(texts: DataFrame, size: int) -> DataFrame:
-    """Pairs ``a, b`` of lines ``lid, text, open`` that share an open band and one of the rarest of their sampled shingles.
+def _open(held: DataFrame, known: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``band, lid, c, parts, block`` and bitmaps of the lines ``held`` by bands in which several components meet."""
+    rows = held.join(again(known), F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
+    several = rows.groupBy("band").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    parts = several.select("band", F.ceil(F.col("g") / BLOCK).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64(F.lit(2), "lid"), F.col("parts")).cast("int").alias("block")
+    return rows.join(parts, "band").select("*", block).join(again(bitmaps), "lid")
 
-    A pair at Jaccard similarity j shares one of the rarest (1 - j) of each line's shingles; ``SLACK`` allows for sampling.
+
+def _across(opened: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of the lines of an open band, of different components, that their bitmaps do not rule out.
+
+    A pair comes once for each band it shares. Two blocks of a band meet in one cell, so that a large band is dealt to many tasks.
     """
-    sampled = F.expr(f"explode(array(filter(array_distinct({_hashes('text', size)}), h -> pmod(h, {SAMPLED}) = 0)))").alias("s")
-    rows = written(texts.select("lid", sampled).select("lid", F.size("s").alias("m"), F.explode("s").alias("h")), "sampled")
-    shared = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    held = maybe_in(again(rows), shared.select("h"), "h").join(shared, "h").groupBy("lid").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
-    # the shingles that no other line has are the rarest
-    take = F.ceil(F.col("m") * SLACK).cast("int") + 1 - (F.col("m") - F.size("s"))
-    rarest = written(held.where(take > 0).select("lid", F.explode(F.slice("s", F.lit(1), take)).alias("x")).select("lid", "x.h"), "rarest")
-    groups = rarest.groupBy("h").agg(F.count("*").alias("n"), F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi")
-    groups = written(groups, "groups")
-    several = again(rarest).join(groups, "h")
-    few = several.where(f"n between 4 and {FEW}").select("h", "lid")
-    other = again(rarest).join(again(groups).where(f"n between 4 and {FEW}"), "h").select("h", F.col("lid").alias("o"))
-    pairs = _ends(several).union(few.join(other, "h").where("lid > o").select(F.col("lid").alias("a"), F.col("o").alias("b"))).distinct()
-    bands = lambda side, s: again(texts).select(F.col("lid").alias(side), F.col("open").alias(s))
-    out = written(pairs.join(bands("a", "x"), "a").join(bands("b", "y"), "b").where(F.arrays_overlap("x", "y")).select("a", "b"), "pairs")
-    for done in (rows, shared, rarest, groups, texts):
-        forget(done)
+    bands = opened.groupBy("band").agg(F.count("*").cast("double").alias("g")).agg(F.sum(F.col("g") * F.col("g"))).first()[0] or 0
+    tasks = max(int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(bands / 2 / TASK_PAIRS))
+    x = opened.select("*", F.col("block").alias("i"), F.explode(F.expr("sequence(block, parts - 1)")).alias("j"))
+    y = again(opened).select("*", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
+    x, y = x.repartition(tasks, "band", "i", "j").alias("x"), y.repartition(tasks, "band", "i", "j").alias("y")
+    cell = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    apart = (F.col("x.c") != F.col("y.c")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.lid") > F.col("y.lid")))
+    return x.join(y.hint("merge"), cell & apart & _may_link(threshold)).select(_pair("x.lid", "y.lid").alias("p")).select("p.a", "p.b")
+
+
+def _connected(known: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, component`` by the stars of what is known and by more links, written."""
+    out = written(components(again(known).select(F.col("node").alias("a"), F.col("component").alias("b")).union(again(more))), "known")
+    forget(known)
     return out
 
 
+def _completed(known: DataFrame, held: DataFrame, texts: DataFrame, bitmaps: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``node, component`` once every pair of lines that share a band of ``held`` is decided.
+
+    While more than ``AT_ONCE`` pairs a line of ``texts`` are left, each line's least and greatest partner go first: in a crowd
+    of near copies these make one component, of which no other pair is needed. Where that joins few lines, all are compared.
+    """
+    most, whole, few = AT_ONCE * texts.count(), False, False
+    while not whole:
+        opened = written(_open(held, known, bitmaps), "open")
+        near = _across(opened, threshold)
+        ends = written(near.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")), "partners")
+        left = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("lines")).first()
+        whole = few or left.pairs <= most
+        pairs = written(near.distinct() if whole else ends.select("a", F.explode(F.array("lo", "hi")).alias("b")).distinct(), "pairs")
+        more = written(_verified(pairs, texts, size, threshold), "links")
+        joined = more.count()
+        few = joined * 8 < left.lines
+        known = _connected(known, more) if joined else known
+        for done in (opened, ends, pairs, more):
+            forget(done)
+    return known
+
+
 def line_components(lines: DataFrame, size: int = SHINGLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """``node, second, component`` of the lids that are near copies of others; second: as ``_second`` has it."""
     signed = written(_signed(lines, size), "signed")
@@ -149,20 +199,16 @@ def line_components(lines: DataFrame, size: int = SHINGLE_CHARS, threshold: floa
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     # one row a line before the shuffle: copies of a common line collapse in the partial aggregate
     few = maybe_in(lines.select("lid", "text"), candidates, "lid").groupBy("lid").agg(F.min("text").alias("text"))
-    sketch = F.expr(f"transform(slice(sort_array(array_distinct({_hashes('text', size)})), 1, {SKETCH}), h -> cast(shiftright(h, 32) as int))")
-    texts = written(few.join(candidates.hint("shuffle_hash"), "lid").select("lid", "text", sketch.alias("sketch")), "texts")
-    links = written(_verified(again(pairs), texts, size, threshold), "links")
-    failed = again(pairs).join(links, ["a", "b"], "left_anti")
-    own = again(members).where("n > 3").select("band", F.explode(F.array(_pair("lid", "lo"), _pair("lid", "hi"))).alias("p")).select("band", "p.a", "p.b").distinct()
-    open_bands = own.join(failed, ["a", "b"]).select("band").distinct()
-    several = again(members).where("n > 3").select("band", "lid").distinct().groupBy("band").agg(F.count("*").alias("lines")).where("lines > 3")
-    templates = written(open_bands.join(several, "band").select("band"), "templates")
-    left = again(members).join(templates, "band").groupBy("lid").agg(F.collect_set("band").alias("open"))  # a line's few bands
-    rest = _indexed(written(again(texts).join(left, "lid").select("lid", "text", "open"), "open"), size)
-    more = written(_verified(again(rest).join(again(pairs), ["a", "b"], "left_anti"), texts, size, threshold), "links")
-    found = components(links.union(more))
-    out = written(found.join(again(texts).select(F.col("lid").alias("node"), _second().alias("second")), "node").select("node", "second", "component"), "lines")
-    for done in (signed, members, pairs, texts, links, templates, rest, more):
+    texts = written(few.join(candidates.hint("shuffle_hash"), "lid").select("lid", "text"), "texts")
+    bitmaps = written(_bitmaps(texts, size), "bitmaps")
+    links = written(_verified(_pruned(again(pairs), bitmaps, threshold), texts, size, threshold), "links")
+    known = written(components(links), "known")
+    # all pairs of three lines are compared by now
+    rows = again(members).select("band", "lid").distinct()
+    held = written(rows.join(rows.groupBy("band").agg(F.count("*").alias("g")).where("g > 3").select("band"), "band"), "held")
+    known = _completed(known, held, texts, bitmaps, size, threshold)
+    out = written(known.join(again(texts).select(F.col("lid").alias("node"), _second().alias("second")), "node").select("node", "second", "component"), "lines")
+    for done in (signed, members, pairs, texts, bitmaps, links, known, held):
         forget(done)
     return out
 
