@@ -25,14 +25,16 @@ SHINGLE_CHARS = 8
 THRESHOLD = 0.8
 #: Bands of a line and hashes in a band: a pair at the threshold shares a band with odds of 0.987.
 BANDS, ROWS = 6, 3
+#: Entries of the circle after a point in which its hashes are looked for first.
+AHEAD = 8
 #: 64-bit words of a line's bitmap.
 WORDS = 16
 #: Bands of more rows than about HOT are dealt in so many parts.
 HOT, SALTS = 1024, 64
 #: Lines of an open band's block, about, and pairs of lines that a task looks at.
 BLOCK, TASK_PAIRS = 2048, 1 << 24
-#: Pairs a line with candidates that are compared at once; of more, each line's least and greatest partner go first.
-AT_ONCE = 8
+#: Pairs a line with candidates that are looked at at once; of more, lines meet so many pivots of each of their bands first.
+AT_ONCE, PIVOTS = 8, 8
 
 
 def _hashes(text: str, size: int) -> str:
@@ -41,16 +43,22 @@ def _hashes(text: str, size: int) -> str:
 
 
 def _signed(lines: DataFrame, size: int) -> DataFrame:
-    """``lid, bands``: the distinct band keys of each line."""
-    points = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)]
-    hashed = lines.select("lid", F.sort_array(F.array_distinct(F.expr(_hashes("text", size)))).alias("s"))
-    circle = hashed.select("lid", F.concat("s", F.slice("s", 1, ROWS)).alias("c"), F.sort_array(F.concat("s", F.array(*[F.lit(p) for p in points[1:]]))).alias("g"))
+    """lines with ``second`` and ``bands``, the distinct band keys of each, in place of the text.
 
-    def at(k: int) -> Column:
-        """Number of hashes below the point: its place among hashes and points, less the points up to it."""
-        return F.array_position("g", points[k]).cast("int") - k if k else F.lit(0)
-
-    return circle.select("lid", F.array_distinct(F.array(*[F.xxhash64(F.slice("c", at(k) + 1, ROWS)) for k in range(BANDS)])).alias("bands"))
+    Hashes and points are sorted as one, repeats included. Where the ``ROWS`` entries after each point are all distinct hashes,
+    as in most lines, they are the bands; else the next ``AHEAD`` are searched, and where these hold too few the whole circle.
+    """
+    points, kept = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)], [c for c in lines.columns if c != "text"]
+    inner, near = f"array({', '.join(f'{p}L' for p in points[1:])})", [f"n{k}" for k in range(BANDS)]
+    circle = lines.select(*kept, _second().alias("second"), F.expr(f"sort_array(concat({_hashes('text', size)}, {inner}))").alias("g"))
+    after = circle.select(*kept, "second", "g", *[F.slice("g", F.array_position("g", p).cast("int") + 1 if k else 1, AHEAD).alias(near[k]) for k, p in enumerate(points)])
+    next_of = [f"slice({n}, 1, {ROWS})" for n in near]
+    plain = f"size(array_distinct(concat({', '.join(next_of)}, {inner}))) = {ROWS * BANDS + BANDS - 1}"
+    first = f"slice(array_except({{}}, {inner}), 1, {ROWS})"
+    around = first.format(f"concat(slice(g, if(k = 0, 1, array_position(g, array(0L, {inner[6:-1]})[k]) + 1), size(g)), g)")
+    other = f"transform(transform(array({', '.join(near)}), n -> {first.format('n')}), (n, k) -> xxhash64(if(size(n) = {ROWS}, n, {around})))"
+    keys = f"array({', '.join(f'xxhash64({x})' for x in next_of)})"
+    return after.select(*kept, "second", F.expr(f"array_distinct(if({plain}, {keys}, {other}))").alias("bands"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -89,12 +97,6 @@ def _may_link(threshold: float) -> Column:
     return (F.least(n, m) + 1e-6 >= threshold * F.greatest(n, m)) & (bits * (1 + threshold) <= (n + m) * (1 - threshold) + 1e-6)
 
 
-def _pruned(pairs: DataFrame, bitmaps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` that their bitmaps do not rule out."""
-    x, y = again(bitmaps).withColumnRenamed("lid", "a").alias("x"), again(bitmaps).withColumnRenamed("lid", "b").alias("y")
-    return pairs.join(x, "a").join(y, "b").where(_may_link(threshold)).select("a", "b")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """Pairs ``a, b`` of lids whose sets of shingles have at least the Jaccard similarity.
 
@@ -138,27 +140,40 @@ def _grouped(signed: DataFrame) -> DataFrame:
 
 
 def _open(held: DataFrame, known: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``band, lid, c, parts, block`` and bitmaps of the lines ``held`` by bands in which several components meet."""
+    """``band, lid, c, parts, block, own`` and bitmaps of the lines ``held`` by bands in which several components meet.
+
+    own: the line's bands of this kind, six at most.
+    """
     rows = held.join(again(known), F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
     several = rows.groupBy("band").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     parts = several.select("band", F.ceil(F.col("g") / BLOCK).cast("int").alias("parts"))
     block = F.pmod(F.xxhash64(F.lit(2), "lid"), F.col("parts")).cast("int").alias("block")
-    return rows.join(parts, "band").select("*", block).join(again(bitmaps), "lid")
+    own = F.collect_list("band").over(W.partitionBy("lid")).alias("own")
+    return rows.join(parts, "band").select("*", block, own).join(again(bitmaps), "lid")
 
 
-def _across(opened: DataFrame, threshold: float) -> DataFrame:
+def _across(opened: DataFrame, threshold: float, looked_at: float) -> DataFrame:
     """Pairs ``a, b`` of the lines of an open band, of different components, that their bitmaps do not rule out.
 
-    A pair comes once for each band it shares. Two blocks of a band meet in one cell, so that a large band is dealt to many tasks.
+    A pair comes once, from the least band that it shares. Two blocks of a band meet in one cell, so that a large band is dealt to many tasks.
     """
-    bands = opened.groupBy("band").agg(F.count("*").cast("double").alias("g")).agg(F.sum(F.col("g") * F.col("g"))).first()[0] or 0
-    tasks = max(int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(bands / 2 / TASK_PAIRS))
+    tasks = max(int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(looked_at / TASK_PAIRS))
     x = opened.select("*", F.col("block").alias("i"), F.explode(F.expr("sequence(block, parts - 1)")).alias("j"))
     y = again(opened).select("*", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
     x, y = x.repartition(tasks, "band", "i", "j").alias("x"), y.repartition(tasks, "band", "i", "j").alias("y")
     cell = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     apart = (F.col("x.c") != F.col("y.c")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.lid") > F.col("y.lid")))
-    return x.join(y.hint("merge"), cell & apart & _may_link(threshold)).select(_pair("x.lid", "y.lid").alias("p")).select("p.a", "p.b")
+    here = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.band")
+    return x.join(y.hint("merge"), cell & apart & _may_link(threshold) & here).select(_pair("x.lid", "y.lid").alias("p")).select("p.a", "p.b")
+
+
+def _to_pivots(opened: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of an open band's lines with ``PIVOTS`` of them, others each turn, that may link across components."""
+    chance = F.xxhash64(F.lit(turn + 3), "lid")
+    least = opened.select("band", chance.alias("r")).groupBy("band", F.pmod("r", F.lit(PIVOTS))).agg(F.min("r").alias("r")).select("band", "r")
+    pivots = again(opened).withColumn("r", chance).join(least, ["band", "r"])
+    both = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & _may_link(threshold)
+    return opened.alias("x").join(pivots.alias("y"), both).select(_pair("x.lid", "y.lid").alias("p")).select("p.a", "p.b").distinct()
 
 
 def _connected(known: DataFrame, more: DataFrame) -> DataFrame:
@@ -171,44 +186,42 @@ def _connected(known: DataFrame, more: DataFrame) -> DataFrame:
 def _completed(known: DataFrame, held: DataFrame, texts: DataFrame, bitmaps: DataFrame, size: int, threshold: float) -> DataFrame:
     """``node, component`` once every pair of lines that share a band of ``held`` is decided.
 
-    While more than ``AT_ONCE`` pairs a line of ``texts`` are left, each line's least and greatest partner go first: in a crowd
-    of near copies these make one component, of which no other pair is needed. Where that joins few lines, all are compared.
+    While the open bands have more than ``AT_ONCE`` pairs a line of ``texts`` to look at, their lines meet a few pivots first: a
+    crowd of near copies becomes one component, of which no other pair is needed. Where that joins few lines, all are compared.
     """
-    most, whole, few = AT_ONCE * texts.count(), False, False
+    most, whole, few, turn = AT_ONCE * texts.count(), False, False, 0
     while not whole:
         opened = written(_open(held, known, bitmaps), "open")
-        near = _across(opened, threshold)
-        ends = written(near.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")), "partners")
-        left = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("lines")).first()
+        counted = opened.groupBy("band").agg(F.count("*").cast("double").alias("g"))
+        left = counted.agg(F.coalesce(F.sum(F.col("g") * F.col("g") / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("g"), F.lit(0.0)).alias("rows")).first()
         whole = few or left.pairs <= most
-        pairs = written(near.distinct() if whole else ends.select("a", F.explode(F.array("lo", "hi")).alias("b")).distinct(), "pairs")
+        pairs = written(_across(opened, threshold, left.pairs) if whole else _to_pivots(opened, threshold, turn), "pairs")
         more = written(_verified(pairs, texts, size, threshold), "links")
         joined = more.count()
-        few = joined * 8 < left.lines
+        few, turn = joined * 16 < left.rows, turn + 1
         known = _connected(known, more) if joined else known
-        for done in (opened, ends, pairs, more):
+        for done in (opened, pairs, more):
             forget(done)
     return known
 
 
-def line_components(lines: DataFrame, size: int = SHINGLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
-    """``node, second, component`` of the lids that are near copies of others; second: as ``_second`` has it."""
-    signed = written(_signed(lines, size), "signed")
-    members = written(_grouped(signed), "members")
+def line_components(lines: DataFrame, signed: DataFrame, size: int = SHINGLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
+    """``node, second, component`` of the lids that are near copies of others; signed, written: as ``_signed`` has lines."""
+    members = written(_grouped(again(signed)), "members")
     pairs = written(_ends(members), "pairs")
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     # one row a line before the shuffle: copies of a common line collapse in the partial aggregate
     few = maybe_in(lines.select("lid", "text"), candidates, "lid").groupBy("lid").agg(F.min("text").alias("text"))
     texts = written(few.join(candidates.hint("shuffle_hash"), "lid").select("lid", "text"), "texts")
-    bitmaps = written(_bitmaps(texts, size), "bitmaps")
-    links = written(_verified(_pruned(again(pairs), bitmaps, threshold), texts, size, threshold), "links")
+    links = written(_verified(again(pairs), texts, size, threshold), "links")
     known = written(components(links), "known")
     # all pairs of three lines are compared by now
     rows = again(members).select("band", "lid").distinct()
     held = written(rows.join(rows.groupBy("band").agg(F.count("*").alias("g")).where("g > 3").select("band"), "band"), "held")
+    bitmaps = written(_bitmaps(texts.join(again(held).select("lid").distinct().hint("shuffle_hash"), "lid"), size), "bitmaps")
     known = _completed(known, held, texts, bitmaps, size, threshold)
     out = written(known.join(again(texts).select(F.col("lid").alias("node"), _second().alias("second")), "node").select("node", "second", "component"), "lines")
-    for done in (signed, members, pairs, texts, bitmaps, links, known, held):
+    for done in (members, pairs, texts, bitmaps, links, known, held):
         forget(done)
     return out
 
@@ -220,11 +233,13 @@ def line_classes(docs: DataFrame, size: int = SHINGLE_CHARS, threshold: float =
     count as copies with equal text (128 bits of hash) or at least ``threshold`` Jaccard similarity of their sets of shingles.
     """
     lines = lines_of(docs)
-    components_of = line_components(lines, size, threshold)
-    own = lines.select("dkey", "doc_id", "line_no", "lid", _second().alias("lid2"))
+    signed = written(_signed(lines, size), "signed")
+    components_of = line_components(lines, signed, size, threshold)
+    own = again(signed).select("dkey", "doc_id", "line_no", "lid", F.col("second").alias("lid2"))
     same = (F.col("lid") == F.col("node")) & (F.col("lid2") == F.col("second"))
     placed = own.join(components_of.hint("shuffle_hash"), same, "left").select("dkey", "doc_id", "line_no", "lid", F.coalesce("component", "lid").alias("c"), F.when(F.col("component").isNull(), F.col("lid2")).otherwise(F.lit(0)).alias("c2"))
     placed = written(placed, "placed")
+    forget(signed)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "dkey", "line_no")
     # written, so that the join's large side is a plain shuffle whose hot parts adaptive execution can split
     least = written(placed.groupBy("c", "c2").agg(F.min(order).alias("k"), F.count("*").alias("n")).where("n > 1").select("c", "c2", "k"), "least")

@@ -133,3 +133,13 @@ def test_the_line_stage_of_the_pipeline_compares_a_crowd(spark):
     texts, _, root = crowd()
     left = corpus_pipeline.drop_repeated_lines(spark, documents(spark, texts), "").collect()
     assert {x.doc_id for x in left} == set(root.values())
+
+
+def test_a_pair_of_a_crowd_comes_once(spark, monkeypatch):
+    """Lines of a crowd share several bands: their pairs came once for each."""
+    texts, links, root = crowd()
+    came, across = [], line_dedup._across
+    monkeypatch.setattr(line_dedup, "_across", lambda *args: came.append(across(*args).collect()) or across(*args))
+    got = {x.doc_id: x.keep_doc_id for x in line_dedup.line_classes(documents(spark, texts)).collect()}
+    assert came and all(len(pairs) == len(set(pairs)) for pairs in came)
+    assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links) and all(root[got[i]] == root[i] for i in root)
