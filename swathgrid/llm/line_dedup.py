@@ -139,30 +139,37 @@ def _grouped(signed: DataFrame) -> DataFrame:
     return found.where("lo < hi").select("band", "lid", "lo", "hi", "n").union(ends(top, "band").where("lo < hi").select("band", "lid", "lo", "hi", "n"))
 
 
-def _open(held: DataFrame, known: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``band, lid, c, parts, block, own`` and bitmaps of the lines ``held`` by bands in which several components meet.
+def _placed(held: DataFrame, known: DataFrame) -> DataFrame:
+    """``band, lid, c`` of the lines ``held`` by bands, with their components; one row for each."""
+    return held.select("band", "lid").join(again(known), F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
 
-    own: the line's bands of this kind, six at most.
+
+def _open(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``band, lid, c, main, parts, others, block, apart, own`` and bitmaps of those lines of bands in which several components meet.
+
+    main: the band's largest component; block, apart: a line's block among all lines of the band and among those outside
+    main; own: the line's bands of this kind, six at most.
     """
-    rows = held.join(again(known), F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
-    several = rows.groupBy("band").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    parts = several.select("band", F.ceil(F.col("g") / BLOCK).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64(F.lit(2), "lid"), F.col("parts")).cast("int").alias("block")
+    sizes = again(rows).groupBy("band", "c").agg(F.count("*").alias("s")).groupBy("band").agg(F.sum("s").alias("g"), F.max(F.struct("s", "c")).alias("m")).where("m.s < g")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = sizes.select("band", F.col("m.c").alias("main"), blocks(F.col("g")).alias("parts"), blocks(F.col("g") - F.col("m.s")).alias("others"))
+    of = lambda n: F.pmod(F.xxhash64(F.lit(2), "lid"), F.col(n)).cast("int")
     own = F.collect_list("band").over(W.partitionBy("lid")).alias("own")
-    return rows.join(parts, "band").select("*", block, own).join(again(bitmaps), "lid")
+    return rows.join(parts, "band").select("*", of("parts").alias("block"), of("others").alias("apart"), own).join(again(bitmaps), "lid")
 
 
 def _across(opened: DataFrame, threshold: float, looked_at: float) -> DataFrame:
     """Pairs ``a, b`` of the lines of an open band, of different components, that their bitmaps do not rule out.
 
-    A pair comes once, from the least band that it shares. Two blocks of a band meet in one cell, so that a large band is dealt to many tasks.
+    One line of each such pair is outside the band's largest component, so that lines inside it never meet each other. A pair
+    comes once, from the least band that it shares. Two blocks of a band meet in one cell, so that a large band is dealt to many tasks.
     """
     tasks = max(int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(looked_at / TASK_PAIRS))
-    x = opened.select("*", F.col("block").alias("i"), F.explode(F.expr("sequence(block, parts - 1)")).alias("j"))
-    y = again(opened).select("*", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
+    x = opened.where("c <> main").select("*", F.col("apart").alias("i"), F.explode(F.expr("sequence(0, parts - 1)")).alias("j"))
+    y = again(opened).select("*", F.explode(F.expr("sequence(0, others - 1)")).alias("i"), F.col("block").alias("j"))
     x, y = x.repartition(tasks, "band", "i", "j").alias("x"), y.repartition(tasks, "band", "i", "j").alias("y")
     cell = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    apart = (F.col("x.c") != F.col("y.c")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.lid") > F.col("y.lid")))
+    apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.lid") > F.col("y.lid")))
     here = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.band")
     return x.join(y.hint("merge"), cell & apart & _may_link(threshold) & here).select(_pair("x.lid", "y.lid").alias("p")).select("p.a", "p.b")
 
@@ -189,19 +196,25 @@ def _completed(known: DataFrame, held: DataFrame, texts: DataFrame, bitmaps: Dat
     While the open bands have more than ``AT_ONCE`` pairs a line of ``texts`` to look at, their lines meet a few pivots first: a
     crowd of near copies becomes one component, of which no other pair is needed. Where that joins few lines, all are compared.
     """
-    most, whole, few, turn = AT_ONCE * texts.count(), False, False, 0
+    most, whole, few, turn, rows = AT_ONCE * texts.count(), False, False, 0, held
     while not whole:
-        opened = written(_open(held, known, bitmaps), "open")
-        counted = opened.groupBy("band").agg(F.count("*").cast("double").alias("g"))
-        left = counted.agg(F.coalesce(F.sum(F.col("g") * F.col("g") / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("g"), F.lit(0.0)).alias("rows")).first()
+        placed = written(_placed(again(rows), known), "placed")
+        opened = written(_open(placed, bitmaps), "open")
+        forget(placed)
+        if turn:
+            forget(rows)
+        rows = opened  # components only grow: a band that is closed stays so
+        counted = opened.groupBy("band").agg(F.count("*").cast("double").alias("g"), F.count_if(F.col("c") != F.col("main")).alias("others"))
+        left = counted.agg(F.coalesce(F.sum(F.col("g") * F.col("others")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("g"), F.lit(0.0)).alias("rows")).first()
         whole = few or left.pairs <= most
         pairs = written(_across(opened, threshold, left.pairs) if whole else _to_pivots(opened, threshold, turn), "pairs")
         more = written(_verified(pairs, texts, size, threshold), "links")
         joined = more.count()
         few, turn = joined * 16 < left.rows, turn + 1
         known = _connected(known, more) if joined else known
-        for done in (opened, pairs, more):
+        for done in (pairs, more):
             forget(done)
+    forget(rows)
     return known
 
 
@@ -259,9 +272,13 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE_CHARS, threshold: float = T
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     classes = line_classes(docs.select("doc_id", "text"), size, threshold).where("not kept")
-    gone = classes.groupBy("dkey", F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("gone"))  # bounded by one document
-    packed = docs.select(F.struct(*own).alias("row"), F.xxhash64("text").alias("dkey"), F.col("doc_id").cast("long").alias("__own"), "text")
-    joined = packed.join(gone, (packed["dkey"] == gone["dkey"]) & F.col("__own").eqNullSafe(F.col("__id")), "left")
-    left = F.expr("transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\\n'))[0]")
-    out = joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where(F.col("gone").isNull() | (F.trim("left") != ""))
-    return out.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    gone = written(classes.groupBy("dkey", F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("gone")), "gone")  # bounded by one document
+    packed = docs.select(F.struct(*own).alias("row"), F.xxhash64("text").alias("dkey"), F.col("doc_id").cast("long").alias("__own"))
+    # only documents that may have lost lines are shuffled
+    packed = marked(packed, again(gone), "dkey", "hit")
+    hit = packed.where("hit").drop("hit").alias("d")
+    joined = hit.join(gone, (F.col("d.dkey") == gone["dkey"]) & F.col("__own").eqNullSafe(F.col("__id")), "left")
+    left = F.expr("transform(array(split(row.text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\\n'))[0]")
+    out = joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)).where(F.col("gone").isNull() | (F.trim("left") != ""))
+    out = out.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return packed.where("not hit").select(*[F.col(f"row.`{c}`") for c in docs.columns]).union(out)

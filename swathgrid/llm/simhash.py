@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import again, components, marked, written
 from .encoding import release
 
 BITS = 64
@@ -170,9 +170,15 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS
 
     Repeated doc_ids: one of the rows stays. Rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, radius, size)
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
-    if kept.where("n > 1").limit(1).count():
+    found = near_duplicates(docs, radius, size).where("doc_id is not null")
+    # all but the doc_ids of which just one row is a group's smallest
+    unlike = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n")).where("n <> 1")
+    unlike = written(unlike.select(F.col("doc_id").alias("__gone"), "n"), "unlike")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # only rows that may go are shuffled
+    packed = marked(docs.select(row, F.col("doc_id").cast("long").alias("__id")).where("__id is not null"), again(unlike).where("n = 0").select(F.col("__gone").alias("__id")), "__id", "hit")
+    stay = packed.where("hit").join(unlike.where("n = 0"), F.col("__id") == F.col("__gone"), "left_anti")
+    out = packed.where("not hit").union(stay).select("row.*")
+    if unlike.where("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.union(docs.where("doc_id is null"))
